@@ -21,7 +21,8 @@ from lectern.plans.runtime import cut
 
 
 def _shift(v: Column, rnd: int, beta: float) -> Column:
-    uniform = (F.pmod(F.xxhash64(v, F.lit(rnd), F.lit(0x5EED)), F.lit(1 << 52)) + F.lit(1.0)) / F.lit(float((1 << 52) + 1))
+    # the round is hashed as a text: unlike a number it isn't compiled in, so all rounds share their generated code
+    uniform = (F.pmod(F.xxhash64(v, F.lit(f"round {rnd}")), F.lit(1 << 52)) + F.lit(1.0)) / F.lit(float((1 << 52) + 1))
     return -F.log(uniform) / F.lit(beta)
 
 
@@ -45,7 +46,7 @@ def grow(edges: DataFrame, rnd: int, beta: float, steps: int) -> DataFrame:
     return label.select(F.col("u").alias("v"), F.col("best.c").alias("c"))
 
 
-def connected_components(edges: DataFrame, beta: float = 0.5, steps: int = 3, max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, beta: float = 0.3, steps: int = 4, max_rounds: int = 200) -> DataFrame:
     """(v, component) for every vertex of `edges(src BIGINT, dst BIGINT)`; component is some vertex of v's component.
 
     Null ends and loops are no edges and repeated edges count once; other columns are ignored. No edges: no rows. A vertex without
