@@ -301,7 +301,7 @@ def _repair(text: str, seen: dict) -> str:
             gap = True
             continue
         t = line.strip("\f \t\r")
-        if i in carried:
+        if i in carried:  # the rest of a word that the line before has whole now
             t = t[len(carried[i]) :].lstrip() if t.startswith(carried[i]) else t
         for (k, w), good in how["blank"].items():
             if k == i:
@@ -309,7 +309,7 @@ def _repair(text: str, seen: dict) -> str:
         for (k, w), good in how["fix"].items():
             if k == i:
                 t = re.sub(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", good, t)
-        if gap and not (edge and paragraph and not re.search(r"[.!?:»”\"]$", paragraph[-1]) and t[:1].islower()):
+        if gap and i not in carried and not (edge and paragraph and not re.search(r"[.!?:»”\"]$", paragraph[-1]) and t[:1].islower()):
             out.append(" ".join(paragraph))
             paragraph = []
         gap = edge = False

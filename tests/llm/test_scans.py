@@ -38,13 +38,13 @@ def test_injected_noise_is_found(spark, sf):
     for r in clean:
         lines = r.extracted_text.split("\n")
         for i, line in enumerate(lines, 1):
-            if (r.paper_id, i) not in marked and i % 7 == 0 and " the " in line and line[-1] != "-":
-                k = line.rindex(" the ")
-                lines[i - 1] = line[:k] + " tbe " + line[k + 5 :]
+            long = [w for w in line.split()[:-1] if w.isalpha() and w.islower() and len(w) > 5 and "e" in w]
+            if (r.paper_id, i) not in marked and i % 7 == 0 and i > 3 and long:
+                lines[i - 1] = line.replace(long[0], long[0].replace("e", "c", 1), 1)
                 put.add((r.paper_id, i))
         rows.append(("x", r.paper_id, "\n".join(lines)))
     got = {(r.paper_id, r.line_no) for r in scan_noise(spark.createDataFrame(rows, DDL)).where("kind = 'ocr'").collect()}
-    assert len(put) > 20 and len(put & got) >= 0.95 * len(put)
+    assert len(put) > 20 and len(put & got) >= 0.9 * len(put)
 
 
 def test_empty(spark):
