@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from lectern.llm.bundles import p1_found
+from lectern.llm.names import p6_authors, p6_found
 from lectern.llm.scans import p2_found, p2_repaired
 from lectern.llm.sentences import p10_found
 from lectern.llm.survivors import p5_found, p5_records
 from lectern.llm.vectors import p4_found, p4_knn
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p4_found, p4_knn, p5_found, p5_records, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p4_found, p4_knn, p5_found, p5_records, p6_found, p6_authors, p10_found)}
 SQL: dict[str, str] = {}
