@@ -127,21 +127,23 @@ def rules() -> list[tuple[str, Column]]:
 
 def agrees() -> Column:
     """Do the two descriptions of a candidate pair describe one work?"""
-    a, b = F.col("l.title"), F.col("r.title")
+    a, b = F.col("l_title"), F.col("r_title")
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     cap = F.greatest(F.lit(2), F.least(F.lit(5), F.floor(shorter * 0.07).cast("int")))
     within = lambda x, y, n: F.levenshtein(x, y) <= n
     close = (longer - shorter <= 5) & within(a, b, cap)
     start = lambda s, t: (F.length(s) >= 12) & (F.length(t) > F.length(s)) & within(F.substr(t, F.lit(1), F.length(s)), s, 3)
-    cut_off = F.col("l.open") & start(a, b) | F.col("r.open") & start(b, a)
-    headed = (F.col("l.main") != "") & (F.col("r.main") == "") & within(F.col("l.main"), b, 2) | (F.col("r.main") != "") & (F.col("l.main") == "") & within(F.col("r.main"), a, 2)
-    marks = F.col("l.mark") == F.col("r.mark")
-    years = lambda d: F.exists("l.years", lambda x: F.exists("r.years", lambda y: F.abs(x - y) <= d))
-    unknown = (F.size("l.years") == 0) | (F.size("r.years") == 0)
-    nobody = (F.size("l.authors") == 0) | (F.size("r.authors") == 0)
-    met = F.exists("l.authors", lambda x: F.exists("r.authors", lambda y: (x == y) | (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y) <= 2)))
+    cut_off = F.col("l_open") & start(a, b) | F.col("r_open") & start(b, a)
+    headed = (F.col("l_main") != "") & (F.col("r_main") == "") & within(F.col("l_main"), b, 2) | (F.col("r_main") != "") & (F.col("l_main") == "") & within(F.col("r_main"), a, 2)
+    marks = F.col("l_mark") == F.col("r_mark")
+    years = lambda d: F.exists("l_years", lambda x: F.exists("r_years", lambda y: F.abs(x - y) <= d))
+    unknown = (F.size("l_years") == 0) | (F.size("r_years") == 0)
+    nobody = (F.size("l_authors") == 0) | (F.size("r_authors") == 0)
+    like = lambda x, y: (x == y) | (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y) <= 2)
+    shared = F.size(F.filter("l_authors", lambda x: F.exists("r_authors", lambda y: like(x, y))))
+    met, most = shared > 0, 2 * shared >= F.least(F.size("l_authors"), F.size("r_authors"))
     same_title = close & marks | (cut_off | headed) & (marks | years(0))
-    return same_title & (years(1) | unknown & met) & (met | nobody & (a == b) & ~unknown)
+    return same_title & (years(1) | unknown & met & most) & (met | nobody & (a == b) & ~unknown)
 
 
 def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,19 +157,21 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     years = said.groupBy("g").agg(F.array_sort(F.collect_set("year")).alias("years"), F.max("catalogue").alias("pooled"))
     records = cut(said.select("g", "title", "main", "mark", "open", "authors", "year").distinct().join(years, "g").withColumnRenamed("pooled", "catalogue"))
     linked: DataFrame | None = None
+    tried: DataFrame | None = None
     for number, (name, keys) in enumerate(rules()):
         keyed = records.withColumn("key", F.explode(F.array_distinct(keys)))
-        l, r = keyed.alias("l"), keyed.alias("r")
-        pairs = l.join(r, F.col("l.key") == F.col("r.key")).where(F.col("l.g") < F.col("r.g"))
+        l, r = (keyed.select(F.col("key"), *[F.col(c).alias(f"{side}_{c}") for c in keyed.columns if c != "key"]) for side in "lr")
+        pairs = l.join(r, "key").where(F.col("l_g") < F.col("r_g"))
         said_so = F.lit(True) if number == 0 else agrees()
-        known = F.col("l.catalogue").isNotNull() & F.col("r.catalogue").isNotNull()
-        found = pairs.where(said_so).groupBy(F.col("l.g").alias("g"), F.col("r.g").alias("h")).agg(F.max(F.when(known, (F.col("l.catalogue") == F.col("r.catalogue")).cast("int"))).alias("label"))
+        known = F.col("l_catalogue").isNotNull() & F.col("r_catalogue").isNotNull()
+        found = pairs.where(said_so).groupBy(F.col("l_g").alias("g"), F.col("r_g").alias("h")).agg(F.max(F.when(known, (F.col("l_catalogue") == F.col("r_catalogue")).cast("int"))).alias("label"))
         found = cut(found.select("g", "h", F.lit(number).alias("rule"), "label").where(F.coalesce(F.col("label"), F.lit(1)) >= 0))
+        tried = found if tried is None else tried.unionByName(found)
         fresh = found if linked is None else found.join(linked.select("g", "h"), ["g", "h"], "left_anti")
         linked = fresh if linked is None else linked.unionByName(fresh)
     linked = cut(linked)
-    # labelled precision by rule; a pair with different catalogue ids is no match, whatever else agrees
-    scored = linked.groupBy("rule").agg(((F.sum(F.coalesce("label", F.lit(0))) + 1) / (F.count("label") + 2)).alias("confidence"))
+    # labelled precision of all that a rule finds, resolved before or not; a pair with different catalogue ids is no match, whatever else agrees
+    scored = tried.groupBy("rule").agg(((F.sum(F.coalesce("label", F.lit(0))) + 1) / (F.count("label") + 2)).alias("confidence"))
     names = F.element_at(F.array(*[F.lit(n) for n, _ in rules()]), F.col("rule") + 1)
     pairs = linked.where("coalesce(label, 1) = 1").join(F.broadcast(scored), "rule").select("g", "h", names.alias("rule"), "confidence")
     return pairs, said
