@@ -36,13 +36,14 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def grow(edges: DataFrame, rnd: int, beta: float, steps: int) -> DataFrame:
     """One round of cluster growth: (v, c) for every vertex of `edges`."""
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("w")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("w")))
-    label = both.groupBy("u").agg(F.max(F.struct((_shift(F.col("w"), rnd, beta) - 1).alias("d"), F.col("w").alias("c"))).alias("best"))
-    own = F.struct(_shift(F.col("u"), rnd, beta).alias("d"), F.col("u").alias("c"))
-    label = label.select("u", F.greatest("best", own).alias("best"))
+    # every edge both ways, and every vertex with itself, so that a step is one join and one aggregation
+    ends = [("src", "dst"), ("dst", "src"), ("src", "src"), ("dst", "dst")]
+    both = edges.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(w).alias("w")) for u, w in ends])).alias("e")).select("e.u", "e.w")
+    far = F.when(F.col("u") == F.col("w"), 0.0).otherwise(1.0)
+    label = both.groupBy("u").agg(F.max(F.struct((_shift(F.col("w"), rnd, beta) - far).alias("d"), F.col("w").alias("c"))).alias("best"))
     for _ in range(steps - 1):
-        near = both.join(label.withColumnRenamed("u", "w"), "w").select("u", F.struct((F.col("best.d") - 1).alias("d"), F.col("best.c").alias("c")).alias("best"))
-        label = near.unionByName(label).groupBy("u").agg(F.max("best").alias("best"))
+        near = both.join(label.withColumnRenamed("u", "w"), "w").select("u", F.struct((F.col("best.d") - far).alias("d"), F.col("best.c").alias("c")).alias("best"))
+        label = near.groupBy("u").agg(F.max("best").alias("best"))
     return label.select(F.col("u").alias("v"), F.col("best.c").alias("c"))
 
 

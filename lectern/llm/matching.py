@@ -1,7 +1,7 @@
 """Problem 3: the same work in different sources, without a common identifier.
 
-A cascade of deterministic rules. Every rule is an exact join on an attribute combination, each weaker than the one before; records
-that earlier rules have resolved are anti-joined by pooling them: a pass only keeps pairs whose groups no earlier rule has linked.
+A cascade of deterministic rules. Every rule is an exact join on an attribute combination, each weaker than the one before. Rules of
+like strength share a pass, and the pairs that an earlier pass has resolved are anti-joined before the later one verifies anything.
 Candidates are verified in the JVM (edit distance of titles, series marks, years, authors). A rule's confidence is its precision on
 the candidate pairs whose both sides carry a catalogue id, smoothed by Laplace's rule of succession.
 """
@@ -25,7 +25,7 @@ from lectern.plans.runtime import cut, table
 MARKS = ["areplication", "revisited", "areply", "acomment", "erratum", "corrigendum", "addendum", "correction", "secondedition"]
 PART = re.compile(r"\W*\b(?:part|pt|vol|volume|no|number|chapter|book|teil|band|del|partie|parte|tome)\.?\s*([ivxlc]{1,5}|\d{1,3})\W*$", re.I)
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-SCHEMA = "id long, g long, catalogue string, title string, main string, mark string, open boolean, authors array<string>, year int"
+SCHEMA = "id long, g long, catalogue string, title string, main string, mark string, open boolean, authors array<string>, surnames array<string>, year int"
 
 
 def _number(text: str) -> int:
@@ -66,8 +66,9 @@ def _load(text: object) -> dict:
     return text if isinstance(text, dict) else {}
 
 
-def _surnames(authors: object) -> list[str]:
-    out = set()
+def _surnames(authors: object) -> tuple[list[str], list[str]]:
+    """(all words of the names but initials, the likeliest surname of each name)."""
+    out, likely = set(), set()
     for a in authors if isinstance(authors, list) else [authors]:
         if isinstance(a, dict):
             inner = a.get("author")
@@ -77,7 +78,8 @@ def _surnames(authors: object) -> list[str]:
             words = [(t, r) for t, r in toks if len(t) > 3 and t not in ORG_WORDS]
             said = [t for t, r in words if r == "S"]
             out |= set(words[0][:1] if org and words else said or [t for t, _ in words])
-    return sorted(out)
+            likely |= set(words[0][:1] if org and words else said or sorted((t for t, _ in words), key=len)[-1:])
+    return sorted(out), sorted(likely)
 
 
 def _described(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,8 +91,8 @@ def _described(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s in sources:
                 if isinstance(s.get("title"), str) and (parts_ := title_parts(s["title"]))[0]:
                     m = re.search(r"\d{4}", str(s.get("year")))
-                    rows.append((i, g, ids[0] if ids else None, *parts_, _surnames(s.get("authors")), int(m[0]) if m else None))
-        out = pd.DataFrame(rows, columns=["id", "g", "catalogue", "title", "main", "mark", "open", "authors", "year"])
+                    rows.append((i, g, ids[0] if ids else None, *parts_, *_surnames(s.get("authors")), int(m[0]) if m else None))
+        out = pd.DataFrame(rows, columns=["id", "g", "catalogue", "title", "main", "mark", "open", "authors", "surnames", "year"])
         yield out.astype({"year": "Int32", "id": "int64", "g": "int64", "open": bool})
 
 
@@ -101,30 +103,38 @@ def descriptions(bundles: DataFrame, groups: DataFrame) -> DataFrame:
     return grouped.mapInPandas(_described, SCHEMA)
 
 
+#: The rules of each pass; a pass doesn't look again at pairs that an earlier one has resolved.
+PASSES = [(0, 2), (3, 7)]
+
+
 def rules() -> list[tuple[str, Column]]:
-    """(name, keys) from strong to weak; a description without the attributes has no key."""
-    near = F.array(F.col("year"), F.col("year") + 1)
+    """(name, keys) from strong to weak, for a record of `records`; without the attributes it has no key."""
+    near = F.array_distinct(F.flatten(F.transform("own_years", lambda y: F.array(y, y + 1))))
+    whole, long = ~F.col("open") & (F.length("title") >= 8), F.length("title") >= 12
+    front, back = F.substring("title", 1, 12), F.when(~F.col("open"), F.substring("title", -12, 12))
 
     def keys(*parts: Column | str) -> Column:
-        return F.concat_ws("\t", *parts)
+        return F.xxhash64(*parts)
 
-    each = lambda f: F.transform("authors", f)
-    two = F.flatten(F.transform("authors", lambda a: F.transform(F.filter("authors", lambda b: b > a), lambda b: F.concat_ws(" ", a, b))))
-    dated = F.col("year").isNotNull()
-    whole = ~F.col("open") & (F.length("title") >= 8)
-    front, back = F.substring("title", 1, 12), F.when(~F.col("open"), F.substring("title", -12, 12))
+    each = lambda f: F.transform("surnames", f)
+    dated = lambda f: F.flatten(F.transform(near, f))
+    following = F.transform(F.slice("surnames", F.lit(2), F.greatest(F.size("surnames") - 1, F.lit(0))), lambda b, i: F.struct(F.get("surnames", i).alias("a"), b.alias("b")))
     return [
-        ("catalogue id", F.when(F.col("catalogue").isNotNull(), F.array("catalogue"))),
-        ("title, author, year", F.when(whole & dated, F.flatten(F.transform(near, lambda y: each(lambda a: keys("title", "mark", a, y.cast("string"))))))),
+        ("catalogue id", F.when(F.col("catalogue").isNotNull(), F.array(keys("catalogue")))),
         ("title, author", F.when(whole, each(lambda a: keys("title", "mark", a)))),
-        ("title, year", F.when(whole & dated, F.transform(near, lambda y: keys("title", "mark", y.cast("string"))))),
-        ("title start, author", F.when(F.length("title") >= 12, each(lambda a: keys(front, a)))),
-        ("title end, author", F.when(F.length("title") >= 12, each(lambda a: keys(back, a)))),
-        ("two authors, year", F.when(dated, F.flatten(F.transform(near, lambda y: F.transform(two, lambda p: keys(p, y.cast("string"))))))),
-        ("long title start, year", F.when(dated & (F.length("title") >= 20), F.transform(near, lambda y: keys(F.substring("title", 1, 20), y.cast("string"))))),
+        ("title, year", F.when(whole, F.transform(near, lambda y: keys("title", "mark", y)))),
+        ("title start, author, year", F.when(long, dated(lambda y: each(lambda a: keys(front, a, y))))),
+        ("title end, author, year", F.when(long, dated(lambda y: each(lambda a: keys(back, a, y))))),
+        ("long title start, author", F.when(F.length("title") >= 18, each(lambda a: keys(F.substring("title", 1, 18), a)))),
+        ("two authors, year", dated(lambda y: F.transform(following, lambda p: keys(p["a"], p["b"], y)))),
+        ("long title start, year", F.when(F.length("title") >= 20, F.transform(near, lambda y: keys(F.substring("title", 1, 20), y)))),
     ]
 
 
+def _tagged(rule: int):
+    return lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+
+
 def agrees() -> Column:
     """Do the two descriptions of a candidate pair describe one work?"""
     a, b = F.col("l_title"), F.col("r_title")
@@ -143,7 +153,7 @@ def agrees() -> Column:
     shared = F.size(F.filter("l_authors", lambda x: F.exists("r_authors", lambda y: like(x, y))))
     met, most = shared > 0, 2 * shared >= F.least(F.size("l_authors"), F.size("r_authors"))
     same_title = close & marks | (cut_off | headed) & (marks | years(0))
-    return same_title & (years(1) | unknown & met & most) & (met | nobody & (a == b) & ~unknown)
+    return (years(1) | unknown) & (longer - shorter < 90) & same_title & (~unknown | met & most) & (met | nobody & (a == b) & ~unknown)
 
 
 def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -154,30 +164,39 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     count once, so a group of any size is one record for the joins.
     """
     said = cut(descriptions(bundles, groups))
-    years = said.groupBy("g").agg(F.array_sort(F.collect_set("year")).alias("years"), F.max("catalogue").alias("pooled"))
-    records = cut(said.select("g", "title", "main", "mark", "open", "authors", "year").distinct().join(years, "g").withColumnRenamed("pooled", "catalogue"))
-    linked: DataFrame | None = None
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    # one record per title of a group; a title's authors are pooled, so the keys grow with the titles and not with their product
+    titles = said.groupBy("g", "title", "main", "mark", "open").agg(union("authors").alias("authors"), union("surnames").alias("surnames"), F.collect_set("year").alias("own_years"))
+    pooled = said.groupBy("g").agg(F.array_sort(F.collect_set("year")).alias("years"), F.max("catalogue").alias("catalogue"))
+    records = cut(titles.join(pooled, "g").withColumn("rid", F.monotonically_increasing_id()))
+    none = F.array().cast("array<struct<rule:int,key:bigint>>")
     tried: DataFrame | None = None
-    for number, (name, keys) in enumerate(rules()):
-        keyed = records.withColumn("key", F.explode(F.array_distinct(keys)))
-        l, r = (keyed.select(F.col("key"), *[F.col(c).alias(f"{side}_{c}") for c in keyed.columns if c != "key"]) for side in "lr")
-        pairs = l.join(r, "key").where(F.col("l_g") < F.col("r_g"))
-        said_so = F.lit(True) if number == 0 else agrees()
-        known = F.col("l_catalogue").isNotNull() & F.col("r_catalogue").isNotNull()
-        found = pairs.where(said_so).groupBy(F.col("l_g").alias("g"), F.col("r_g").alias("h")).agg(F.max(F.when(known, (F.col("l_catalogue") == F.col("r_catalogue")).cast("int"))).alias("label"))
-        found = cut(found.select("g", "h", F.lit(number).alias("rule"), "label").where(F.coalesce(F.col("label"), F.lit(1)) >= 0))
-        tried = found if tried is None else tried.unionByName(found)
-        fresh = found if linked is None else found.join(linked.select("g", "h"), ["g", "h"], "left_anti")
-        linked = fresh if linked is None else linked.unionByName(fresh)
-    linked = cut(linked)
+    for first, last in PASSES:
+        made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
+        # only numbers are joined on; the texts come in once per distinct pair
+        keyed = records.select("rid", "g", F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "k.*")
+        l, r = (keyed.select("rule", "key", F.col("rid").alias(f"{x}_rid"), F.col("g").alias(f"{x}_g")) for x in "lr")
+        met = l.join(r, ["rule", "key"]).where("l_g < r_g").groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"))
+        if tried is not None:
+            # pairs with a label stay, to score the rules of this pass on
+            met = met.join(tried.where("label is null").select(F.col("g").alias("l_g"), F.col("h").alias("r_g")).distinct(), ["l_g", "r_g"], "left_anti")
+        sides = [records.select(F.col("rid").alias(f"{x}_rid"), *[F.col(c).alias(f"{x}_{c}") for c in ("title", "main", "mark", "open", "authors", "years", "catalogue")]) for x in "lr"]
+        pairs = met.join(sides[0], "l_rid").join(sides[1], "r_rid")
+        same = (F.col("l_catalogue") == F.col("r_catalogue")).cast("int")  # null unless both are known
+        found = pairs.withColumn("label", same).withColumn("mask", F.when(agrees(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(1))).where("mask > 0")
+        found = found.groupBy(F.col("l_g").alias("g"), F.col("r_g").alias("h")).agg(F.bit_or("mask").alias("mask"), F.max("label").alias("label"))
+        tried = cut(found if tried is None else tried.unionByName(found))
     # labelled precision of all that a rule finds, resolved before or not; a pair with different catalogue ids is no match, whatever else agrees
-    scored = tried.groupBy("rule").agg(((F.sum(F.coalesce("label", F.lit(0))) + 1) / (F.count("label") + 2)).alias("confidence"))
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(rules()) - 1)), lambda n: F.col("mask").bitwiseAND(F.pow(F.lit(2), n).cast("int")) > 0)).alias("rule")
+    by_rule = tried.select("g", "h", "label", at)
+    scored = by_rule.groupBy("rule").agg(((F.sum(F.coalesce("label", F.lit(0))) + 1) / (F.count("label") + 2)).alias("confidence"))
     names = F.element_at(F.array(*[F.lit(n) for n, _ in rules()]), F.col("rule") + 1)
-    pairs = linked.where("coalesce(label, 1) = 1").join(F.broadcast(scored), "rule").select("g", "h", names.alias("rule"), "confidence")
+    linked = by_rule.where("coalesce(label, 1) = 1").groupBy("g", "h").agg(F.min("rule").alias("rule"))
+    pairs = linked.join(F.broadcast(scored), "rule").select("g", "h", names.alias("rule"), "confidence")
     return pairs, said
 
 
-def same_works(bundles: DataFrame, works: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+def same_works(bundles: DataFrame, works: DataFrame, min_confidence: float = 0.3) -> DataFrame:
     """(id_a, id_b, confidence): the pairs of bundles of one work that are in different groups by identifier.
 
     Links between groups of at least `min_confidence` are closed transitively; a pair that only others connect gets the smallest
@@ -186,7 +205,7 @@ def same_works(bundles: DataFrame, works: DataFrame, min_confidence: float = 0.5
     groups = bundle_groups(bundles, works)
     pairs, said = matched_groups(bundles, groups)
     pairs = cut(pairs.where(F.col("confidence") >= min_confidence))
-    part = connected_components(pairs.select(F.col("g").alias("src"), F.col("h").alias("dst"))).withColumnRenamed("v", "g")
+    part = cut(connected_components(pairs.select(F.col("g").alias("src"), F.col("h").alias("dst"))).withColumnRenamed("v", "g"))
     weakest = pairs.join(part, "g").groupBy("component").agg(F.min("confidence").alias("weakest"))
     own = cut(said.select("id", "g").distinct().join(part, "g"))
     a, b = own.select(F.col("id").alias("id_a"), F.col("g").alias("ga"), "component"), own.select(F.col("id").alias("id_b"), F.col("g").alias("gb"), "component")
