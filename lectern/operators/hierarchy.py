@@ -68,3 +68,18 @@ def items_by_node(nodes: DataFrame, items: DataFrame, key: str, item: str) -> Da
     lists = items.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = dict(items.dtypes)[item]
     return nodes.join(lists, key, "left").withColumn("items", F.coalesce("items", F.array().cast(f"array<{kind}>")))
+
+
+def nested_json(nodes: DataFrame, key: str, parent: str, name: str) -> DataFrame:
+    """(key, json): every root as a JSON tree {id, name, children[]}, children by key. Levels are nested from the deepest up, one
+    aggregation each; the tree of a root must fit into a row."""
+    depth = walk(nodes, key, parent, name).select(key, "depth")
+    rows = with_parents(nodes, key, parent).select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(name).alias("name")).join(depth.withColumnRenamed(key, "k"), "k")
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    open_ = lambda children: F.concat(F.lit('{"id": '), F.col("k").cast("string"), F.lit(', "name": '), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(', "children": ['), children, F.lit("]}"))
+    made = rows.where(F.col("depth") == deepest).select("k", "p", open_(F.lit("")).alias("json"))
+    for d in range(deepest - 1, -1, -1):
+        below = made.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("k", "json"))).alias("c")).withColumnRenamed("p", "k")
+        level = rows.where(F.col("depth") == d).join(below, "k", "left")
+        made = level.select("k", "p", open_(F.coalesce(F.array_join(F.transform("c", lambda x: x["json"]), ", "), F.lit(""))).alias("json"))
+    return made.select(F.col("k").alias(key), "json")

@@ -44,3 +44,28 @@ def block_text(text: Column) -> Column:
 def numbered(df: DataFrame, group: str, order: str, kind: str) -> DataFrame:
     """With the running number of each block among those of its kind."""
     return df.withColumn("number", F.row_number().over(Window.partitionBy(group, kind).orderBy(order)))
+
+
+def node_info(label: Column) -> Column:
+    """struct(type, channels, height, width) of a node label like `<b>Conv2d</b> ... (1, 64, 570, 570)`: the last shape in it counts."""
+    shapes = F.regexp_extract_all(label, F.lit(r"\((?:\d+,\s*){2,3}\d+\)"), F.lit(0))
+    last = F.element_at(F.concat(F.array(F.lit("(0)")), shapes), -1)
+    sizes = F.transform(F.regexp_extract_all(last, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    at = lambda i: F.when(F.size(sizes) >= 3, F.try_element_at(sizes, F.lit(i)))
+    kind = F.nullif(F.regexp_extract(label, r"([A-Z][A-Za-z]+\d?d?|add_)", 1), F.lit(""))
+    return F.struct(kind.alias("type"), at(-3).alias("channels"), at(-2).alias("height"), at(-1).alias("width"))
+
+
+def path_blocks(layers: DataFrame, group: str, order: str, skips: DataFrame | None = None) -> DataFrame:
+    """(group, block_no, block, number, first, last, skip_to): the blocks of a layer chain with the layers that each covers and, for
+    `skips(group, src, dst)` given by layer position, the block that a skip edge of the block leads to."""
+    parts = chain(layers, group, order).select(group, F.posexplode(blocks(F.col("chain"))).alias("block_no", "b"))
+    w = Window.partitionBy(group).orderBy("block_no")
+    end = F.sum(F.length("b.part")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = parts.select(group, "block_no", F.col("b.block").alias("block"), (end - F.length("b.part")).alias("first"), (end - 1).alias("last"))
+    out = numbered(out, group, "block_no", "block")
+    if skips is None:
+        return out.withColumn("skip_to", F.lit(None).cast("int"))
+    ends = out.select(group, F.col("block_no").alias("to"), F.col("first").alias("f"), F.col("last").alias("l"))
+    led = skips.join(ends, group).where("dst between f and l").select(group, "src", "to")
+    return out.join(led.withColumnRenamed(group, "_g"), (F.col(group) == F.col("_g")) & F.col("src").between(F.col("first"), F.col("last")), "left").groupBy(group, "block_no", "block", "number", "first", "last").agg(F.min("to").alias("skip_to"))

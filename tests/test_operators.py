@@ -106,3 +106,37 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert [(r.i, None if r.filled is None or math.isnan(r.filled) else r.filled) for r in spark.table("c").orderBy("i").collect()] == [(1, None), (2, 5.0), (3, 5.0)]
     assert {(r.mean, r["values"]) for r in spark.table("m").collect()} == {(5.0, 1), (None, 0)}
+
+
+def test_building_bundles(spark):
+    from lectern.operators import build
+
+    cr = spark.createDataFrame([("10.1/a", "T", ["A"], 2000)], "doi string, title string, authors array<string>, year int")
+    oa = spark.createDataFrame([("10.1/B", "U", ["B"], 2001)], "doi string, title string, authors array<string>, year int")
+    dois = spark.createDataFrame([("DOI: 10.1/A",), ("https://doi.org/10.1/b",), (None,), ("",), ("10.1/a",)], "doi string")
+    got = {r.work_id: r for r in build.from_dois(dois, cr, oa).collect()}
+    assert got.keys() == {"doi:10.1/a", "doi:10.1/b"} and got["doi:10.1/a"].openalex_metadata == "{}" and got["doi:10.1/a"].errors == '["openalex: no record"]' and '"title":"U"' in got["doi:10.1/b"].openalex_metadata
+    bib = spark.createDataFrame([("k", "T", ["A"], "2000", "10.1/a", None), ("e", None, [], None, None, None), ("x", "T", [], None, None, "7700.1")], "id string, title string, authors array<string>, year string, doi string, arxiv string")
+    assert {r.work_id for r in build.from_bibtex(bib, cr, oa).collect()} == {"doi:10.1/a", "error:e", "arxiv:7700.1"}
+    one = spark.createDataFrame([("10.1/a", 1, '{"n": 2}'), ("10.1/A", 0, '{"n": 1}')], "doi string, position int, item string")
+    r = build.from_searches(one, one.limit(0), cr, oa).collect()
+    assert [(x.search_hits_crossref, x.search_hits_openalex) for x in r] == [('[{"n": 1}, {"n": 2}]', "[]")]
+    files = spark.createDataFrame([("p", "10.0000/pdf-1", None, [], None, None)], "path string, content_doi string, title string, authors array<string>, year string, doi string")
+    assert build.from_files(files, cr, oa).first().work_id == "10.0000/pdf-1"
+    s = spark.createDataFrame([('{"summary": "s", "methods": ["m"]}',), ("plain",), (None,)], "t string").select(build.summary_fields(F.col("t")).alias("f")).collect()
+    assert [(x.f.summary, x.f.methods) for x in s] == [("s", ["m"]), ("plain", []), ("", [])]
+
+
+def test_nested_export_and_blocks(spark):
+    import json
+
+    tree = spark.createDataFrame([(1, 'a "q"', None), (3, "c", 1), (2, "b", 1), (4, "d", 3)], "id long, name string, parent long")
+    got = hierarchy.nested_json(tree, "id", "parent", "name").collect()
+    assert [json.loads(r.json) for r in got] == [{"id": 1, "name": 'a "q"', "children": [{"id": 2, "name": "b", "children": []}, {"id": 3, "name": "c", "children": [{"id": 4, "name": "d", "children": []}]}]}]
+    rows = [("n", i, t, 8, 8) for i, t in enumerate(["Conv2d", "ReLU", "Conv2d", "ReLU", "MaxPool2d", "Linear"])]
+    df = spark.createDataFrame(rows, "g string, i int, type string, height int, width int")
+    skips = spark.createDataFrame([("n", 1, 5)], "g string, src int, dst int")
+    got = layers.path_blocks(df, "g", "i", skips).orderBy("block_no").collect()
+    assert [(r.block, r.number, r.first, r["last"], r.skip_to) for r in got] == [("C", 1, 0, 3, 2), ("P>", 1, 4, 4, None), ("l", 1, 5, 5, None)]
+    info = spark.range(1).select(layers.node_info(F.lit("<b>Conv2d</b> (1, 3, 572, 572) (1, 64, 570, 569)")).alias("x")).first().x
+    assert tuple(info) == ("Conv2d", 64, 570, 569)
