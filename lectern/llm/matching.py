@@ -152,7 +152,8 @@ def agrees() -> Column:
     like = lambda x, y: (x == y) | (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y) <= 2)
     shared = F.size(F.filter("l_authors", lambda x: F.exists("r_authors", lambda y: like(x, y))))
     met, most = shared > 0, 2 * shared >= F.least(F.size("l_authors"), F.size("r_authors"))
-    same_title = close & marks | (cut_off | headed) & (marks | years(0))
+    # what a shortened title has lost may be a series mark, so its year must be the same
+    same_title = close & marks | (cut_off | headed) & (years(0) | unknown & marks)
     return (years(1) | unknown) & (longer - shorter < 90) & same_title & (~unknown | met & most) & (met | nobody & (a == b) & ~unknown)
 
 

@@ -208,7 +208,8 @@ def _headers(lines: list[str], pages: list[bool], edge: list[bool], seen: dict)
         bare = NUMBERED.sub("", lines[i].strip()).strip()
         for part in re.split(r"\s*[|/]\s+", bare):
             f = fold(part.rstrip(" .…:"))
-            if len(f) >= 10 and (edge[i] or i > full[0] + 2) and (title.startswith(f) or difflib.SequenceMatcher(None, title[: len(f)], f, autojunk=False).ratio() >= 0.87):
+            # away from the edges a line is only compared in full if it starts like the title
+            if len(f) >= 10 and (title.startswith(f) or (edge[i] or f[:4] == title[:4]) and difflib.SequenceMatcher(None, title[: len(f)], f, autojunk=False).ratio() >= 0.87):
                 out[i] = True
             elif (m := re.match(r"(.{4,60}?)\W+et\s?[a4][l1I]\W*$", part, re.I)) and (edge[i] or names) and difflib.SequenceMatcher(None, names[: len(fold(m[1]))], fold(m[1]), autojunk=False).ratio() >= 0.75:
                 out[i] = True
