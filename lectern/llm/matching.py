@@ -104,14 +104,14 @@ def descriptions(bundles: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 #: The rules of each pass; a pass doesn't look again at pairs that an earlier one has resolved.
-PASSES = [(0, 2), (3, 7)]
+PASSES = [(0, 2), (3, 6)]
 
 
 def rules() -> list[tuple[str, Column]]:
     """(name, keys) from strong to weak, for a record of `records`; without the attributes it has no key."""
     near = F.array_distinct(F.flatten(F.transform("own_years", lambda y: F.array(y, y + 1))))
     whole, long = ~F.col("open") & (F.length("title") >= 8), F.length("title") >= 12
-    front, back = F.substring("title", 1, 12), F.when(~F.col("open"), F.substring("title", -12, 12))
+    back = F.when(~F.col("open"), F.substring("title", -12, 12))
 
     def keys(*parts: Column | str) -> Column:
         return F.xxhash64(*parts)
@@ -123,11 +123,10 @@ def rules() -> list[tuple[str, Column]]:
         ("catalogue id", F.when(F.col("catalogue").isNotNull(), F.array(keys("catalogue")))),
         ("title, author", F.when(whole, each(lambda a: keys("title", "mark", a)))),
         ("title, year", F.when(whole, F.transform(near, lambda y: keys("title", "mark", y)))),
-        ("title start, author, year", F.when(long, dated(lambda y: each(lambda a: keys(front, a, y))))),
         ("title end, author, year", F.when(long, dated(lambda y: each(lambda a: keys(back, a, y))))),
         ("long title start, author", F.when(F.length("title") >= 18, each(lambda a: keys(F.substring("title", 1, 18), a)))),
         ("two authors, year", dated(lambda y: F.transform(following, lambda p: keys(p["a"], p["b"], y)))),
-        ("long title start, year", F.when(F.length("title") >= 20, F.transform(near, lambda y: keys(F.substring("title", 1, 20), y)))),
+        ("title start, year", F.when(F.length("title") >= 12, F.transform(near, lambda y: keys(F.substring("title", 1, 12), y)))),
     ]
 
 
@@ -140,8 +139,12 @@ def agrees() -> Column:
     a, b = F.col("l_title"), F.col("r_title")
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     cap = F.greatest(F.lit(2), F.least(F.lit(5), F.floor(shorter * 0.07).cast("int")))
-    within = lambda x, y, n: F.levenshtein(x, y) <= n
-    close = (longer - shorter <= 5) & within(a, b, cap)
+
+    def within(x: Column, y: Column, n: int) -> Column:  # with a bound the distance is -1 beyond it, and much cheaper
+        return F.levenshtein(x, y, n) >= 0
+
+    d5 = F.levenshtein(a, b, 5)
+    close = (longer - shorter <= 5) & (d5 >= 0) & (d5 <= cap)
     start = lambda s, t: (F.length(s) >= 12) & (F.length(t) > F.length(s)) & within(F.substr(t, F.lit(1), F.length(s)), s, 3)
     cut_off = F.col("l_open") & start(a, b) | F.col("r_open") & start(b, a)
     headed = (F.col("l_main") != "") & (F.col("r_main") == "") & within(F.col("l_main"), b, 2) | (F.col("r_main") != "") & (F.col("l_main") == "") & within(F.col("r_main"), a, 2)
@@ -149,7 +152,7 @@ def agrees() -> Column:
     years = lambda d: F.exists("l_years", lambda x: F.exists("r_years", lambda y: F.abs(x - y) <= d))
     unknown = (F.size("l_years") == 0) | (F.size("r_years") == 0)
     nobody = (F.size("l_authors") == 0) | (F.size("r_authors") == 0)
-    like = lambda x, y: (x == y) | (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y) <= 2)
+    like = lambda x, y: (x == y) | (F.least(F.length(x), F.length(y)) >= 6) & (F.levenshtein(x, y, 2) >= 0)
     shared = F.size(F.filter("l_authors", lambda x: F.exists("r_authors", lambda y: like(x, y))))
     met, most = shared > 0, 2 * shared >= F.least(F.size("l_authors"), F.size("r_authors"))
     # what a shortened title has lost may be a series mark, so its year must be the same
