@@ -134,6 +134,16 @@ def _tagged(rule: int):
     return lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
 
 
+def may_agree() -> Column:
+    """What must hold of lengths and years for `agrees` to hold."""
+    a, b, ah, bh = (F.col(c) for c in ("l_len", "r_len", "l_head", "r_head"))
+    near = F.abs(a - b) <= 5
+    cut_off = F.col("l_open") & (a < b) | F.col("r_open") & (b < a)
+    headed = (ah > 0) & (bh == 0) & (F.abs(ah - b) <= 2) | (bh > 0) & (ah == 0) & (F.abs(bh - a) <= 2)
+    years = F.col("l_from").isNull() | F.col("r_from").isNull() | (F.col("l_from") - 1 <= F.col("r_to")) & (F.col("r_from") - 1 <= F.col("l_to"))
+    return (near | cut_off | headed) & years
+
+
 def agrees() -> Column:
     """Do the two descriptions of a candidate pair describe one work?"""
     a, b = F.col("l_title"), F.col("r_title")
@@ -177,10 +187,13 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     tried: DataFrame | None = None
     for first, last in PASSES:
         made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
-        # only numbers are joined on; the texts come in once per distinct pair
-        keyed = records.select("rid", "g", F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "k.*")
-        l, r = (keyed.select("rule", "key", F.col("rid").alias(f"{x}_rid"), F.col("g").alias(f"{x}_g")) for x in "lr")
-        met = l.join(r, ["rule", "key"]).where("l_g < r_g").groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"))
+        # only numbers are joined on; the texts come in once per distinct pair. What `agrees` says about lengths and years holds of the
+        # numbers already and leaves few pairs
+        size = [F.length("title").cast("short").alias("len"), F.length("main").cast("short").alias("head"), "open", F.array_min("years").cast("short").alias("from"), F.array_max("years").cast("short").alias("to")]
+        keyed = records.select("rid", "g", *size, F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "len", "head", "open", "from", "to", F.col("k.rule").cast("byte").alias("rule"), "k.key")
+        l, r = (keyed.select("rule", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "len", "head", "open", "from", "to")]) for x in "lr")
+        met = l.join(r, ["rule", "key"]).where("l_g < r_g").where((F.col("rule") == 0) | may_agree())
+        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, cast(rule as int))")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"))
         if tried is not None:
             # pairs with a label stay, to score the rules of this pass on
             met = met.join(tried.where("label is null").select(F.col("g").alias("l_g"), F.col("h").alias("r_g")).distinct(), ["l_g", "r_g"], "left_anti")
