@@ -25,7 +25,7 @@ from lectern.plans.runtime import cut, table
 MARKS = ["areplication", "revisited", "areply", "acomment", "erratum", "corrigendum", "addendum", "correction", "secondedition"]
 PART = re.compile(r"\W*\b(?:part|pt|vol|volume|no|number|chapter|book|teil|band|del|partie|parte|tome)\.?\s*([ivxlc]{1,5}|\d{1,3})\W*$", re.I)
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
-SCHEMA = "id long, g long, catalogue string, title string, main string, mark string, open boolean, authors array<string>, surnames array<string>, year int"
+SCHEMA = "id long, catalogue string, title string, main string, mark string, open boolean, authors array<string>, surnames array<string>, year int"
 
 
 def _number(text: str) -> int:
@@ -85,22 +85,22 @@ def _surnames(authors: object) -> tuple[list[str], list[str]]:
 def _described(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         rows = []
-        for i, g, work, *texts in p[["id", "g", "work_id", "pdf_metadata", "crossref_metadata", "openalex_metadata"]].itertuples(index=False, name=None):
+        for i, work, *texts in p[["id", "work_id", "pdf_metadata", "crossref_metadata", "openalex_metadata"]].itertuples(index=False, name=None):
             sources = [_load(t) for t in texts]
             ids = [x for x in (sources[2].get("id"), work) if isinstance(x, str) and re.search(r"/W\d+$", x)]
             for s in sources:
                 if isinstance(s.get("title"), str) and (parts_ := title_parts(s["title"]))[0]:
                     m = re.search(r"\d{4}", str(s.get("year")))
-                    rows.append((i, g, ids[0] if ids else None, *parts_, *_surnames(s.get("authors")), int(m[0]) if m else None))
-        out = pd.DataFrame(rows, columns=["id", "g", "catalogue", "title", "main", "mark", "open", "authors", "surnames", "year"])
-        yield out.astype({"year": "Int32", "id": "int64", "g": "int64", "open": bool})
+                    rows.append((i, ids[0] if ids else None, *parts_, *_surnames(s.get("authors")), int(m[0]) if m else None))
+        out = pd.DataFrame(rows, columns=["id", "catalogue", "title", "main", "mark", "open", "authors", "surnames", "year"])
+        yield out.astype({"year": "Int32", "id": "int64", "open": bool})
 
 
 def descriptions(bundles: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per title that a source of a bundle gives; unreadable, null and misshapen metadata give none."""
     texts = ["pdf_metadata", "crossref_metadata", "openalex_metadata"]
-    grouped = bundles.select("id", "work_id", *texts).join(groups.select("id", F.col("group_id").alias("g")), "id")
-    return grouped.mapInPandas(_described, SCHEMA)
+    said = bundles.where("id is not null").select("id", "work_id", *texts).mapInPandas(_described, SCHEMA)
+    return said.join(groups.select("id", F.col("group_id").alias("g")), "id")
 
 
 #: The rules of each pass; a pass doesn't look again at pairs that an earlier one has resolved.
@@ -189,18 +189,22 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
         made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
         # only numbers are joined on; the texts come in once per distinct pair. What `agrees` says about lengths and years holds of the
         # numbers already and leaves few pairs
-        size = [F.length("title").cast("short").alias("len"), F.length("main").cast("short").alias("head"), "open", F.array_min("years").cast("short").alias("from"), F.array_max("years").cast("short").alias("to")]
-        keyed = records.select("rid", "g", *size, F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "len", "head", "open", "from", "to", F.col("k.rule").cast("byte").alias("rule"), "k.key")
-        l, r = (keyed.select("rule", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "len", "head", "open", "from", "to")]) for x in "lr")
+        size = [F.least(F.length("title"), F.lit(32000)).cast("short").alias("len"), F.least(F.length("main"), F.lit(32000)).cast("short").alias("head"), "open", F.array_min("years").cast("short").alias("from"), F.array_max("years").cast("short").alias("to"), F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat")]
+        keyed = records.select("rid", "g", *size, F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "len", "head", "open", "from", "to", "cat", F.col("k.rule").cast("byte").alias("rule"), "k.key")
+        l, r = (keyed.select("rule", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "len", "head", "open", "from", "to", "cat")]) for x in "lr")
         met = l.join(r, ["rule", "key"]).where("l_g < r_g").where((F.col("rule") == 0) | may_agree())
-        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, cast(rule as int))")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"))
+        same = (F.min("l_cat") == F.min("r_cat")).cast("int")  # null unless both are known
+        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, cast(rule as int))")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
         if tried is not None:
             # pairs with a label stay, to score the rules of this pass on
             met = met.join(tried.where("label is null").select(F.col("g").alias("l_g"), F.col("h").alias("r_g")).distinct(), ["l_g", "r_g"], "left_anti")
-        sides = [records.select(F.col("rid").alias(f"{x}_rid"), *[F.col(c).alias(f"{x}_{c}") for c in ("title", "main", "mark", "open", "authors", "years", "catalogue")]) for x in "lr"]
-        pairs = met.join(sides[0], "l_rid").join(sides[1], "r_rid")
-        same = (F.col("l_catalogue") == F.col("r_catalogue")).cast("int")  # null unless both are known
-        found = pairs.withColumn("label", same).withColumn("mask", F.when(agrees(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(1))).where("mask > 0")
+        # equal titles with an equal author and near years agree by their keys alone
+        sure = F.col("mask").bitwiseAND(6) == 6
+        sides = [records.select(F.col("rid").alias(f"{x}_rid"), *[F.col(c).alias(f"{x}_{c}") for c in ("title", "main", "mark", "open", "authors", "years")]) for x in "lr"]
+        pairs = met.where(~sure).join(sides[0], "l_rid").join(sides[1], "r_rid")
+        read = pairs.withColumn("mask", F.when(agrees(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(1))).where("mask > 0")
+        cols = ["l_g", "r_g", "mask", "label"]
+        found = met.where(sure).select(*cols).unionByName(read.select(*cols)) if first == 0 else read
         found = found.groupBy(F.col("l_g").alias("g"), F.col("r_g").alias("h")).agg(F.bit_or("mask").alias("mask"), F.max("label").alias("label"))
         tried = cut(found if tried is None else tried.unionByName(found))
     # labelled precision of all that a rule finds, resolved before or not; a pair with different catalogue ids is no match, whatever else agrees

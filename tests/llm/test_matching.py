@@ -29,7 +29,7 @@ def test_cases(spark):
         (7, "x7", None, "{broken", "[]", '"text"'),
         (8, "x8", None, None, None, None),
         (9, "doi:10.1/a", None, None, meta(t, a, 2001), None),
-        (10, "x10", None, None, meta("X" * 20000, a, 1990), None),
+        (10, "x10", None, None, meta("X" * 50000, a, 1990), None),
     ]
     df = spark.createDataFrame([(*r, "clash") for r in rows], DDL)
     got = {(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()}
