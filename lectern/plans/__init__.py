@@ -1 +1 @@
-"""Run-time helpers shared by the operators: table reads, lineage cuts, size-checked broadcasts."""
+"""Run-time helpers shared by the operators: table reads and lineage cuts."""

@@ -1,11 +1,10 @@
-"""Table reads, checkpoints and size-checked broadcasts."""
+"""Table reads and checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +27,3 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there: later steps neither recompute it nor depend on any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else `df` as it is, so that the planner chooses a shuffled join.
-
-    The check counts at most max_rows + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
