@@ -134,13 +134,26 @@ def _tagged(rule: int):
     return lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
 
 
+#: The fields of `packed`: name, first bit, bits.
+FIELDS = [("len", 0, 15), ("head", 15, 15), ("open", 30, 1), ("from", 31, 14), ("to", 45, 14)]
+
+
+def packed() -> Column:
+    """Lengths of title and main part, whether it is cut short, first and last year (0: unknown) of a record in one number, as
+    a row of a join takes eight bytes for every field."""
+    most = F.lit(32000)
+    parts = {"len": F.least(F.length("title"), most), "head": F.least(F.length("main"), most), "open": F.col("open").cast("int"), "from": F.coalesce(F.array_min("years"), F.lit(0)), "to": F.coalesce(F.array_max("years"), F.lit(0))}
+    return sum((F.shiftleft(parts[n].cast("long"), at) for n, at, _ in FIELDS), F.lit(0).cast("long"))
+
+
 def may_agree() -> Column:
     """What must hold of lengths and years for `agrees` to hold."""
-    a, b, ah, bh = (F.col(c) for c in ("l_len", "r_len", "l_head", "r_head"))
+    l, r = ({n: F.shiftright(f"{x}_pack", at).bitwiseAND((1 << bits) - 1) for n, at, bits in FIELDS} for x in "lr")
+    a, b, ah, bh = l["len"], r["len"], l["head"], r["head"]
     near = F.abs(a - b) <= 5
-    cut_off = F.col("l_open") & (a < b) | F.col("r_open") & (b < a)
+    cut_off = (l["open"] == 1) & (a < b) | (r["open"] == 1) & (b < a)
     headed = (ah > 0) & (bh == 0) & (F.abs(ah - b) <= 2) | (bh > 0) & (ah == 0) & (F.abs(bh - a) <= 2)
-    years = F.col("l_from").isNull() | F.col("r_from").isNull() | (F.col("l_from") - 1 <= F.col("r_to")) & (F.col("r_from") - 1 <= F.col("l_to"))
+    years = (l["from"] == 0) | (r["from"] == 0) | (l["from"] - 1 <= r["to"]) & (r["from"] - 1 <= l["to"])
     return (near | cut_off | headed) & years
 
 
@@ -189,12 +202,13 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
         made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
         # only numbers are joined on; the texts come in once per distinct pair. What `agrees` says about lengths and years holds of the
         # numbers already and leaves few pairs
-        size = [F.least(F.length("title"), F.lit(32000)).cast("short").alias("len"), F.least(F.length("main"), F.lit(32000)).cast("short").alias("head"), "open", F.array_min("years").cast("short").alias("from"), F.array_max("years").cast("short").alias("to"), F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat")]
-        keyed = records.select("rid", "g", *size, F.explode(F.array_distinct(F.concat(*made))).alias("k")).select("rid", "g", "len", "head", "open", "from", "to", "cat", F.col("k.rule").cast("byte").alias("rule"), "k.key")
-        l, r = (keyed.select("rule", "key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "len", "head", "open", "from", "to", "cat")]) for x in "lr")
-        met = l.join(r, ["rule", "key"]).where("l_g < r_g").where((F.col("rule") == 0) | may_agree())
+        keyed = records.select("rid", "g", F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat"), packed().alias("pack"), F.explode(F.array_distinct(F.concat(*made))).alias("k"))
+        keyed = keyed.select(F.xxhash64("k.rule", "k.key").alias("key"), "rid", "g", "cat", (F.col("pack") + F.shiftleft(F.col("k.rule").cast("long"), 59)).alias("pack"))
+        l, r = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "cat", "pack")]) for x in "lr")
+        rule = F.shiftright("l_pack", 59).cast("int")
+        met = l.join(r, "key").where("l_g < r_g").where((rule == 0) | may_agree()).withColumn("rule", rule)
         same = (F.min("l_cat") == F.min("r_cat")).cast("int")  # null unless both are known
-        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, cast(rule as int))")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
+        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
         if tried is not None:
             # pairs with a label stay, to score the rules of this pass on
             met = met.join(tried.where("label is null").select(F.col("g").alias("l_g"), F.col("h").alias("r_g")).distinct(), ["l_g", "r_g"], "left_anti")
