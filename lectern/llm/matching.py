@@ -131,7 +131,8 @@ def rules() -> list[tuple[str, Column]]:
 
 
 def _tagged(rule: int):
-    return lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+    """The rule in the last three bits of its key."""
+    return lambda key: key.bitwiseAND(-8).bitwiseOR(rule)
 
 
 #: The fields of `packed`: name, first bit, bits.
@@ -196,16 +197,15 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
     titles = said.groupBy("g", "title", "main", "mark", "open").agg(union("authors").alias("authors"), union("surnames").alias("surnames"), F.collect_set("year").alias("own_years"))
     pooled = said.groupBy("g").agg(F.array_sort(F.collect_set("year")).alias("years"), F.max("catalogue").alias("catalogue"))
     records = cut(titles.join(pooled, "g").withColumn("rid", F.monotonically_increasing_id()))
-    none = F.array().cast("array<struct<rule:int,key:bigint>>")
+    none = F.array().cast("array<bigint>")
     tried: DataFrame | None = None
     for first, last in PASSES:
         made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
         # only numbers are joined on; the texts come in once per distinct pair. What `agrees` says about lengths and years holds of the
         # numbers already and leaves few pairs
-        keyed = records.select("rid", "g", F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat"), packed().alias("pack"), F.explode(F.array_distinct(F.concat(*made))).alias("k"))
-        keyed = keyed.select(F.xxhash64("k.rule", "k.key").alias("key"), "rid", "g", "cat", (F.col("pack") + F.shiftleft(F.col("k.rule").cast("long"), 59)).alias("pack"))
+        keyed = records.select("rid", "g", F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat"), packed().alias("pack"), F.explode(F.array_distinct(F.concat(*made))).alias("key"))
         l, r = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "cat", "pack")]) for x in "lr")
-        rule = F.shiftright("l_pack", 59).cast("int")
+        rule = F.col("key").bitwiseAND(7).cast("int")
         met = l.join(r, "key").where("l_g < r_g").where((rule == 0) | may_agree()).withColumn("rule", rule)
         same = (F.min("l_cat") == F.min("r_cat")).cast("int")  # null unless both are known
         met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
