@@ -104,7 +104,7 @@ def descriptions(bundles: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 #: The rules of each pass; a pass doesn't look again at pairs that an earlier one has resolved.
-PASSES = [(0, 2), (3, 6)]
+PASSES = [(0, 2), (3, 7)]
 
 
 def rules() -> list[tuple[str, Column]]:
@@ -118,18 +118,33 @@ def rules() -> list[tuple[str, Column]]:
 
     each = lambda f: F.transform("surnames", f)
     dated = lambda f: F.flatten(F.transform(near, f))
-    following = F.transform(F.slice("surnames", F.lit(2), F.greatest(F.size("surnames") - 1, F.lit(0))), lambda b, i: F.struct(F.get("surnames", i).alias("a"), b.alias("b")))
+    # every pair, as a misspelt or extra name may stand between two right ones in the sorted list
+    couples = F.flatten(F.transform("surnames", lambda a, i: F.transform(F.slice("surnames", i + 2, F.size("surnames")), lambda b: keys(a, b))))
     return [
         ("catalogue id", F.when(F.col("catalogue").isNotNull(), F.array(keys("catalogue")))),
         ("title, author", F.when(whole, each(lambda a: keys("title", "mark", a)))),
         ("title, year", F.when(whole, F.transform(near, lambda y: keys("title", "mark", y)))),
         ("title end, author, year", F.when(long, dated(lambda y: each(lambda a: keys(back, a, y))))),
         ("long title start, author", F.when(F.length("title") >= 18, each(lambda a: keys(F.substring("title", 1, 18), a)))),
-        ("two authors, year", dated(lambda y: F.transform(following, lambda p: keys(p["a"], p["b"], y)))),
+        ("two authors, year", dated(lambda y: F.transform(couples, lambda c: keys(c, y)))),
         ("title start, year", F.when(F.length("title") >= 12, F.transform(near, lambda y: keys(F.substring("title", 1, 12), y)))),
+        ("title piece, author, year", F.when(F.length("title") >= 12, F.flatten(F.transform("own_years", lambda y: F.flatten(each(lambda a: F.transform(_pieces(), lambda p: keys(p, a, y)))))))),
     ]
 
 
+def _pieces() -> Column:
+    """Pieces of a title's start for the rule on cut-off titles.
+
+    `agrees` lets the shorter title differ by three edits from the longer one's start, so of the four pieces of three letters that a
+    title starts with one is unchanged, at most three places away. Every title has these four; a cut-off one also has what stands up to
+    three places from them.
+    """
+    own = [(n, 3 * n) for n in range(4)]
+    moved = [(n, 3 * n + by) for n in range(4) for by in range(-3, 4) if by and 3 * n + by >= 0]
+    piece = lambda n, at: F.struct(F.lit(n).alias("n"), F.substring("title", at + 1, 3).alias("p"))
+    return F.when(F.col("open"), F.array(*[piece(n, at) for n, at in own + moved])).otherwise(F.array(*[piece(n, at) for n, at in own]))
+
+
 def _tagged(rule: int):
     """The rule in the last three bits of its key."""
     return lambda key: key.bitwiseAND(-8).bitwiseOR(rule)
@@ -158,6 +173,11 @@ def may_agree() -> Column:
     return (near | cut_off | headed) & years
 
 
+def cut_off() -> Column:
+    """Is either title of a candidate pair cut short?"""
+    return F.shiftright("l_pack", 30).bitwiseOR(F.shiftright("r_pack", 30)).bitwiseAND(1) == 1
+
+
 def agrees() -> Column:
     """Do the two descriptions of a candidate pair describe one work?"""
     a, b = F.col("l_title"), F.col("r_title")
@@ -206,7 +226,7 @@ def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, Da
         keyed = records.select("rid", "g", F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat"), packed().alias("pack"), F.explode(F.array_distinct(F.concat(*made))).alias("key"))
         l, r = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "cat", "pack")]) for x in "lr")
         rule = F.col("key").bitwiseAND(7).cast("int")
-        met = l.join(r, "key").where("l_g < r_g").where((rule == 0) | may_agree()).withColumn("rule", rule)
+        met = l.join(r, "key").where("l_g < r_g").where((rule == 0) | may_agree()).where((rule < 7) | cut_off()).withColumn("rule", rule)
         same = (F.min("l_cat") == F.min("r_cat")).cast("int")  # null unless both are known
         met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
         if tried is not None:

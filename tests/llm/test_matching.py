@@ -41,3 +41,20 @@ def test_query_and_confidence(spark, sf):
     pairs = p3_found(spark, sf).collect()
     assert pairs and len(pairs) == len(set(pairs)) and all(r.id_a < r.id_b for r in pairs)
     assert all(0 < r.confidence < 1 for r in p3_matches(spark, sf).collect())
+
+
+def test_keys_of_cut_off_titles(spark):
+    t = "Why Policy Search Fails in Museum Archives and Windy Cliffs"
+    rows = [
+        # another source's misspelt name stands between the two authors in the pooled list
+        (1, meta(t, ["Ann Puxbrouardo", "Bo Ploundier"], 1996), meta(t, ["Ann Puxbeouardo", "Bo Ploundier"], 1996)),
+        (2, None, meta("Why Poilcy Search Fails in Museum Arch...", ["Ann Puxbrouardo", "Bo Ploundier"], 1996)),
+        # one author
+        (3, meta("Learning to Prune the Rose Garden at Night", ["Cy Wexelbladh"], 2003), None),
+        (4, None, meta("Laerning to Prune the R...", ["Cy Wexelbladh"], 2003)),
+        (5, None, meta("Laarning to Prume the Rise Garden...", ["Cy Wexelbladh"], 2003)),
+        (6, None, meta("Learning to Paint the Walls of...", ["Cy Wexelbladh"], 2003)),
+    ]
+    df = spark.createDataFrame([(i, f"x{i}", None, None, c, o, "") for i, c, o in rows], DDL)
+    got = {(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()}
+    assert got == {(1, 2), (3, 4), (3, 5), (4, 5)}
