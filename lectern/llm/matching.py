@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -35,6 +36,13 @@ def _number(text: str) -> int:
     return sum(-a if a < b else a for a, b in zip(v, [*v[1:], 0]))
 
 
+def _letters(text: str) -> str:
+    """The letters and digits of any script, with the vowel signs that some scripts write as marks."""
+    if text.isascii():
+        return re.sub(r"[^a-z0-9]", "", text)
+    return "".join(c for c in text if c.isalnum() or unicodedata.category(c)[0] == "M")
+
+
 def title_parts(raw: str) -> tuple[str, str, str, bool]:
     """(letters of the title without its series mark, letters of its part before a colon or "", mark, is it cut short?)"""
     t = re.sub(r"<[^<>]{1,20}>|[{}$\\]", "", raw).strip()
@@ -46,14 +54,14 @@ def title_parts(raw: str) -> tuple[str, str, str, bool]:
     mark = ""
     if m := PART.search(t):
         mark, t = f"part {_number(m[1])}", t[: m.start()]
-    letters = re.sub(r"[^a-z0-9]", "", t)
+    letters = _letters(t)
     for end in MARKS:
         if not short and len(letters) > len(end) + 8 and letters[-len(end)] == end[0] and distance(letters[-len(end) :], end) <= 2:
             mark = f"{mark} {end}".strip()
             letters = letters[: -len(end)]
-            t = t[: max(t.rfind(":"), 0)] if ":" in t and len(re.sub(r"[^a-z0-9]", "", t[: t.rfind(":")])) >= len(letters) - 1 else t
+            t = t[: max(t.rfind(":"), 0)] if ":" in t and len(_letters(t[: t.rfind(":")])) >= len(letters) - 1 else t
             break
-    head = re.sub(r"[^a-z0-9]", "", t.split(":", 1)[0]) if ":" in t else ""
+    head = _letters(t.split(":", 1)[0]) if ":" in t else ""
     return letters, head if 12 <= len(head) < len(letters) else "", mark, short
 
 
@@ -75,7 +83,8 @@ def _surnames(authors: object) -> tuple[list[str], list[str]]:
             a = a.get("name") or (inner.get("display_name") if isinstance(inner, dict) else None)
         if isinstance(a, str) and a.strip():
             org, toks = parse(a)
-            words = [(t, r) for t, r in toks if len(t) > 3 and t not in ORG_WORDS]
+            # names of other scripts may be of two or three letters
+            words = [(t, r) for t, r in toks if (len(t) > 3 or len(t) > 1 and not t.isascii()) and t not in ORG_WORDS]
             said = [t for t, r in words if r == "S"]
             out |= set(words[0][:1] if org and words else said or [t for t, _ in words])
             likely |= set(words[0][:1] if org and words else said or sorted((t for t, _ in words), key=len)[-1:])
@@ -110,7 +119,9 @@ PASSES = [(0, 2), (3, 7)]
 def rules() -> list[tuple[str, Column]]:
     """(name, keys) from strong to weak, for a record of `records`; without the attributes it has no key."""
     near = F.array_distinct(F.flatten(F.transform("own_years", lambda y: F.array(y, y + 1))))
-    whole, long = ~F.col("open") & (F.length("title") >= 8), F.length("title") >= 12
+    # a character of these scripts says as much as two letters or more
+    dense = F.col("title").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
+    whole, long = ~F.col("open") & (F.length("title") >= F.when(dense, 4).otherwise(8)), F.length("title") >= 12
     back = F.when(~F.col("open"), F.substring("title", -12, 12))
 
     def keys(*parts: Column | str) -> Column:
@@ -255,7 +266,7 @@ def same_works(bundles: DataFrame, works: DataFrame, min_confidence: float = 0.3
     """(id_a, id_b, confidence): the pairs of bundles of one work that are in different groups by identifier.
 
     Links between groups of at least `min_confidence` are closed transitively; a pair that only others connect gets the smallest
-    confidence of its work's links. Bundles without a title of their own are in no pair.
+    confidence of its work's links. Bundles without a title that has a letter or digit of any script are in no pair.
     """
     groups = bundle_groups(bundles, works)
     pairs, said = matched_groups(bundles, groups)

@@ -58,3 +58,14 @@ def test_keys_of_cut_off_titles(spark):
     df = spark.createDataFrame([(i, f"x{i}", None, None, c, o, "") for i, c, o in rows], DDL)
     got = {(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()}
     assert got == {(1, 2), (3, 4), (3, 5), (4, 5)}
+
+
+def test_titles_of_other_scripts(spark):
+    assert title_parts("Обучение с подкреплением!")[0] == "обучениесподкреплением"
+    assert title_parts("强化学习 的 策略搜索")[0] == "强化学习的策略搜索" and title_parts("?! -- _")[0] == ""
+    titles = ["Обучение с подкреплением в лабиринтах", "强化学习策略", "Μάθηση πολιτικής σε λαβύρινθους", "التعلم المعزز في المتاهات"]
+    names = ["Иван Петров", "李明", "Νίκος Παππάς", "أحمد علي"]
+    rows = [(f"x{i}{k}", t, a, 2001) for i, (t, a) in enumerate(zip(titles, names)) for k in range(2)] + [("y", "Глубокие сети для поиска путей", names[0], 2001)]
+    df = spark.createDataFrame([(i, w, None, None, meta(t, [a], y), None, "") for i, (w, t, a, y) in enumerate(rows)], DDL)
+    got = {(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()}
+    assert got == {(0, 1), (2, 3), (4, 5), (6, 7)}
