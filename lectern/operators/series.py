@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.plans.runtime import cut
+
 
 def fill_gaps(df: DataFrame, group: str, order: str, value: str, into: str = "filled") -> DataFrame:
     """With the last value that isn't null up to each row, leading gaps with the first one of the series; all null stays null."""
@@ -51,3 +53,15 @@ def first_visits(df: DataFrame, group: list[str], order: str) -> DataFrame:
 
 def running_total(df: DataFrame, group: str, order: str, value: str, into: str = "total") -> DataFrame:
     return df.withColumn(into, F.sum(value).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def places(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with each row's place (from 1) in the order of all rows. Rows are split by ranges of the order and numbered within a range, so
+    no task sees all of them; the order should leave no ties."""
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # a row's range holds from here on, because it is written
+    parts = cut(parts)
+    within = parts.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))  # one row per range
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return within.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn("place", F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")

@@ -476,3 +476,10 @@ def typed_sort(spark, d):
     from pyspark.sql import Window
 
     return rows.select("o_orderkey", F.row_number().over(Window.orderBy(dates.parsed_date(F.col("written")).asc_nulls_first(), "o_orderkey")).alias("place"))
+
+
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN written = 'n.d.' THEN NULL ELSE o_orderdate::DATE END ASC NULLS FIRST, o_orderkey)::BIGINT AS place FROM (SELECT o_orderkey, o_orderdate, {WRITTEN} AS written FROM orders)")
+def typed_order(spark, d):
+    """The place of every row in the order of `typed_sort`, whose SQL keeps the first thousand only."""
+    rows = _written(spark, d).withColumn("date", dates.parsed_date(F.col("written")))
+    return series.places(rows, F.col("date").asc_nulls_first(), F.col("o_orderkey").asc()).select("o_orderkey", "place")

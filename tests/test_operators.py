@@ -140,3 +140,11 @@ def test_nested_export_and_blocks(spark):
     assert [(r.block, r.number, r.first, r["last"], r.skip_to) for r in got] == [("C", 1, 0, 3, 2), ("P>", 1, 4, 4, None), ("l", 1, 5, 5, None)]
     info = spark.range(1).select(layers.node_info(F.lit("<b>Conv2d</b> (1, 3, 572, 572) (1, 64, 570, 569)")).alias("x")).first().x
     assert tuple(info) == ("Conv2d", 64, 570, 569)
+
+
+def test_typed_order_places_every_row(spark, sf):
+    rows = {r.o_orderkey: r.place for r in QUERIES["typed_order"](spark, sf).collect()}
+    written = {r.o_orderkey: r.parsed for r in QUERIES["dates_in_formats"](spark, sf).collect()}
+    want = sorted(written, key=lambda k: (written[k] is not None, str(written[k]), k))
+    assert sum(d is not None for d in written.values()) > 500
+    assert [k for k, _ in sorted(rows.items(), key=lambda x: x[1])] == want and sorted(rows.values()) == list(range(1, len(want) + 1))
