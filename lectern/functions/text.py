@@ -44,9 +44,9 @@ def tokens(c: Column) -> Column:
 
 
 def with_synonyms(c: Column) -> Column:
-    """Lower case, with every spelling of SYNONYMS at word boundaries replaced by its term."""
+    """Lower case, with every spelling of SYNONYMS at word boundaries (of words in any script) replaced by its term."""
     pairs = [(v, term) for term, variants in SYNONYMS.items() for v in variants]
-    return reduce(lambda t, p: F.regexp_replace(t, r"\b" + p[0].replace("-", r"\-") + r"\b", p[1]), pairs, F.lower(c))
+    return reduce(lambda t, p: F.regexp_replace(t, r"(?U)\b" + p[0].replace("-", r"\-") + r"\b", p[1]), pairs, F.lower(c))
 
 
 def canonical_doi(c: Column) -> Column:

@@ -248,6 +248,32 @@ _PARSED = f"""p AS (SELECT id, work_id, {_truthy('p', 'doi')} AS pd, {_truthy('c
 _KEYS = "CASE WHEN oid IS NOT NULL THEN 'work_id' WHEN doi IS NOT NULL THEN 'doi' ELSE 'unresolved' END AS key_type, coalesce(oid, doi, id::VARCHAR) AS key_value"
 
 
+# ---------------------------------------------------------------- metadata inside a JSON string, titles in any script
+
+_OPENALEX = f"(SELECT id, {_DOC.format('openalex_metadata')} AS m FROM raw_bundles)"
+
+
+@query(f"""SELECT id, string_agg(word, ' ' ORDER BY pos, word) AS abstract FROM (SELECT id, e.key AS word, unnest(e.value) AS pos FROM (
+   SELECT id, unnest(map_entries(TRY_CAST(json_extract(m, '$.abstract_inverted_index') AS MAP(VARCHAR, INTEGER[])))) AS e FROM {_OPENALEX} WHERE json_type(m) = 'OBJECT')) WHERE pos IS NOT NULL GROUP BY id""")
+def abstracts_decoded(spark, d):
+    """As `abstracts`, also of the documents inside a JSON string, which its SQL doesn't read."""
+    rows = table(spark, d, "raw_bundles").select("id", jsons.abstract_text(jsons.inverted_abstract(F.col("openalex_metadata"))).alias("abstract"))
+    return rows.where("abstract is not null")
+
+
+@query(f"""SELECT id, coalesce(nullif(m->>'$.primary_location.pdf_url', ''), list_filter(list_transform(CASE WHEN json_type(m, '$.locations') = 'ARRAY' THEN json_extract(m, '$.locations')::JSON[] END, lambda x: x->>'$.pdf_url'), lambda u: u <> '')[1]) AS url
+   FROM {_OPENALEX}""")
+def pdf_urls_decoded(spark, d):
+    """As `pdf_urls`, with every bundle; what isn't readable has no address."""
+    return table(spark, d, "raw_bundles").select("id", jsons.pdf_url(F.col("openalex_metadata")).alias("url"))
+
+
+@query()
+def synonym_titles_all(spark, d):
+    """As `synonym_titles`, with titles in any script and those that are null."""
+    return table(spark, d, "normalized_works").select("id", text.with_synonyms(F.col("title")).alias("title"))
+
+
 @query(f"WITH {_PARSED} SELECT id, {_KEYS} FROM b")
 def identity_keys(spark, d):
     return resolve.identity(table(spark, d, "raw_bundles"))
