@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,15 +32,26 @@ def weighted_terms(docs: DataFrame, key: str, text: str, min_df: int = 2, max_df
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def class_pipeline(text: str, label: str, vocabulary: int = 20_000) -> Pipeline:
-    """Words and pairs of words (English stop words out), smoothed idf, unit length, one linear support vector machine per class."""
+class SmoothIdf(Estimator):
+    """Counts in `_c` times ln((1 + n) / (1 + df)) + 1, in `_x`."""
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol="_c", outputCol="_x").fit(dataset).idf.toArray()  # without the 1
+        return ElementwiseProduct(inputCol="_c", outputCol="_x", scalingVec=Vectors.dense(idf + 1))
+
+
+def class_pipeline(text: str, label: str) -> Pipeline:
+    """Words and pairs of words (English stop words out), smoothed idf, unit length, one linear support vector machine per class.
+
+    All terms in two texts or more and at most nine tenths of them are used; the driver holds the terms and a weight of each per class."""
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"(?U)\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="_w", outputCol="_s"),
         NGram(n=2, inputCol="_s", outputCol="_p"),
         SQLTransformer(statement="SELECT *, concat(_s, _p) AS _t FROM __THIS__"),
-        CountVectorizer(inputCol="_t", outputCol="_c", minDF=2, maxDF=0.9, vocabSize=vocabulary),
-        Normalizer(inputCol="_c", outputCol="features", p=2.0),
+        CountVectorizer(inputCol="_t", outputCol="_c", minDF=2, maxDF=0.9, vocabSize=2**31 - 1),
+        SmoothIdf(),
+        Normalizer(inputCol="_x", outputCol="features", p=2.0),
         StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"),
         OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), featuresCol="features", labelCol="label"),
     ]

@@ -161,3 +161,17 @@ def test_metadata_in_strings_and_titles_in_any_script(spark, tmp_path):
     spark.createDataFrame(list(enumerate(titles)), "id long, title string").write.parquet(f"{tmp_path}/normalized_works.parquet")
     got = {r.id: r.title for r in QUERIES["synonym_titles_all"](spark, str(tmp_path)).collect()}
     assert got == {0: "über reinforcement_learning in gridworld", 1: "über", 2: "érl und rlé", 3: "学习 reinforcement_learning", 4: None}
+
+
+def test_classes_weigh_every_term_by_idf(spark):
+    many = " ".join(f"w{i}" for i in range(12_000))
+    docs = spark.createDataFrame([(0, many, "a"), (1, many, "a"), (2, "rare common rare", "b"), (3, "rare common common", "b"), (4, "common", "b")], "id long, t string, c string")
+    model = texts.train_classes(docs, "t", "c")
+    words = next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary"))
+    assert len(words) == 12_000 + 11_999 + 3  # words, pairs, and rare, common, "rare common"
+    v = model.transform(docs.where("id = 2")).first()["features"]
+    got = {words[i]: x for i, x in zip(v.indices, v.values)}
+    df = {"rare": (2, 2), "common": (1, 3), "rare common": (1, 2)}
+    raw = {t: tf * (math.log(6 / (1 + n)) + 1) for t, (tf, n) in df.items()}
+    assert got == pytest.approx({t: w / math.sqrt(sum(x * x for x in raw.values())) for t, w in raw.items()})
+    assert {r.predicted for r in texts.predict_classes(model, docs, "t", "id").where("id > 1").collect()} == {"b"}
