@@ -1,7 +1,7 @@
 """Problem 6: variant spellings of names.
 
-Tokens of all spellings get a role from the forms that show it ("Last, First", "First M. Last", "LAST First"). Surname-like tokens go
-into a symmetric-delete neighbourhood index: two tokens within edit distance 2 share a variant with at most two characters deleted, so
+Tokens of all spellings get a role from the forms that show it ("Last, First", "First M. Last", "LAST First"). Surnames, words of
+unclear order and all words of organisations, but no initials, go into a symmetric-delete neighbourhood index: two tokens within edit distance 2 share a variant with at most two characters deleted, so
 similar tokens meet in an equi-join. Spellings whose tokens meet are compared by optimal assignment of their tokens, permitting
 initials, abbreviations, short forms and typing errors; spellings with full given names are closed transitively, those with initials
 only join the one author they fit best. Spellings with equal token lists are one class from the start, so only classes are compared.
@@ -181,6 +181,9 @@ def _assign(small: list, large: list, org: bool) -> tuple[float, list[tuple[int,
                 if (i == lead[0]) != (j == lead[1]):
                     row[j] = None
 
+    if len(large) > 9:  # the search below may take exponential time
+        return _matching([[None if c is None else c + 0.001 * abs(i - j) for j, c in enumerate(row)] for i, row in enumerate(costs)])
+
     def go(k: int, used: int, total: float, pairs: list[tuple[int, int]]) -> None:
         nonlocal best
         if best is not None and total >= best[0] or total > 2.9:
@@ -198,6 +201,38 @@ def _assign(small: list, large: list, org: bool) -> tuple[float, list[tuple[int,
     return best
 
 
+def _matching(costs: list[list[float | None]]) -> tuple[float, list[tuple[int, int]]] | None:
+    """The cheapest assignment of all rows to different columns in polynomial time (shortest augmenting paths), None beyond 2.9."""
+    inf, m = float("inf"), len(costs[0])
+    u, v, row_of = [0.0] * (len(costs) + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, len(costs) + 1):
+        row_of[0], at = i, 0
+        least, back, done = [inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            done[at] = True
+            r, step, to = row_of[at], inf, 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                c = costs[r - 1][j - 1]
+                if (reduced := (1e6 if c is None else c) - u[r] - v[j]) < least[j]:
+                    least[j], back[j] = reduced, at
+                if least[j] < step:
+                    step, to = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            row_of[at], at = row_of[back[at]], back[at]
+    pairs = sorted((row_of[j] - 1, j - 1) for j in range(1, m + 1) if row_of[j])
+    found = [costs[i][j] for i, j in pairs]
+    return None if None in found or sum(found) > 2.9 else (sum(found), pairs)
+
+
 def same(one: tuple[bool, list], two: tuple[bool, list]) -> int:
     """0: different; 1: the same, by a full given name or as an organisation; 2: the same as far as initials tell."""
     (org_a, a), (org_b, b) = one, two
@@ -206,7 +241,7 @@ def same(one: tuple[bool, list], two: tuple[bool, list]) -> int:
     if len(a) > len(b):
         a, b = b, a
         org_a, org_b = org_b, org_a
-    if len(a) < 2 or len(b) > 9:
+    if len(a) < 2:
         return int(len(a) == len(b) and a == b)
     found = _assign(a, b, org)
     if not found:
@@ -289,17 +324,19 @@ def name_groups(names: DataFrame) -> DataFrame:
     parsed = cut(spellings.mapInPandas(_parsed, "name string, class string, org boolean, tokens array<string>, roles array<string>"))
     # equal token lists are one class, named by one spelling of it; the number holds because it is written
     classes = cut(parsed.groupBy("class").agg(F.min_by(F.struct("name", "org", "tokens", "roles"), "name").alias("r")).select("class", "r.*").withColumn("id", F.monotonically_increasing_id()))
-    token = classes.select("id", "org", F.posexplode(F.arrays_zip("tokens", "roles")).alias("at", "x")).select("id", "org", "at", F.col("x.tokens").alias("token"), F.col("x.roles").alias("role")).where("length(token) >= 3")
+    token = classes.select("id", "org", F.posexplode(F.arrays_zip("tokens", "roles")).alias("at", "x")).select("id", "org", "at", F.col("x.tokens").alias("token"), F.col("x.roles").alias("role")).where("length(token) >= 2")
     votes = token.groupBy("token").agg(F.sum(F.when(F.col("role") == "S", 1).otherwise(0)).alias("s"), F.sum(F.when(F.col("role") == "G", 1).otherwise(0)).alias("g"), F.count("*").alias("df"))
     seen = token.join(votes, "token")
-    mine = Window.partitionBy("id").orderBy(F.col("token").isin(*ORG_WORDS), "df", "token")
-    # surname-like: said to be one, or unclear and not more often a given name; of an organisation the two rarest tokens
-    keep = F.when(F.col("org"), F.row_number().over(mine) <= 2).otherwise((F.col("role") == "S") | ((F.col("role") == "?") & (F.col("g") <= F.col("s"))))
-    index = cut(seen.withColumn("keep", keep).where("keep").select("id", "token").distinct())
+    # every word of an organisation, every surname and every word of unclear order; two words that are more often given names don't make a
+    # pair of names where each has a likelier surname among its own
+    given = ~F.col("org") & (F.col("role") == "?") & (F.col("g") > F.col("s"))
+    keys = seen.where(F.col("org") | (F.col("role") != "G")).select("id", "token", given.alias("given"))
+    keys = keys.groupBy("id", "token").agg(F.min("given").alias("given"))
+    index = cut(keys.select("id", "token", (F.col("given") & F.min("given").over(Window.partitionBy("id")).eqNullSafe(False)).alias("weak")))
     near = similar_tokens(index)
-    left = index.withColumnRenamed("id", "a").withColumnRenamed("token", "t")
-    right = index.withColumnRenamed("id", "b").withColumnRenamed("token", "u")
-    candidates = near.join(left, "t").join(right, "u").where("a < b").select("a", "b").distinct()
+    left = index.select(F.col("id").alias("a"), F.col("token").alias("t"), F.col("weak").alias("wa"))
+    right = index.select(F.col("id").alias("b"), F.col("token").alias("u"), F.col("weak").alias("wb"))
+    candidates = near.join(left, "t").join(right, "u").where("a < b and not (wa and wb)").select("a", "b").distinct()
     label = classes.select("id", "name")
     named = candidates.join(label.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a").join(label.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b")
     links = cut(named.mapInPandas(_compare, "a long, b long, kind int"))

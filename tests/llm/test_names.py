@@ -46,3 +46,17 @@ def test_groups_and_edge_cases(spark):
 def test_query(spark, sf):
     rows = p6_found(spark, sf).collect()
     assert rows and all(r.name_a.encode() < r.name_b.encode() for r in rows) and len(rows) == len(set(rows))
+
+
+def test_candidates_of_short_common_and_long_names(spark):
+    long = "Northern Kvalby Centre for Maritime Decision Science Robotics Ethics Policy Search Planning Studies"
+    both = [
+        ("Li, Wei", "Wei Li"),
+        ("James Martin", "Martin, James"),
+        ("Decision Science Exploration Centre", "Dec. Sci. Expl. Centre"),
+        (long, long.replace("Maritime", "Marittime")),
+    ]
+    names = [n for p in both for n in p] + ["Martin B. Oake", "Martin C. Oake", "Martin D. Elm", "James E. Birch"]
+    got = {r.name: r.author for r in name_groups(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert [got[a] == got[b] for a, b in both] == [True] * 4
+    assert len({got[a] for a, _ in both}) == 4
