@@ -81,15 +81,15 @@ def _quoted(name: str) -> str:
     return '"' + name + '"' if '"' not in name else "'" + name + "'"
 
 
-def infer_lists(docs: DataFrame, max_depth: int = 24) -> set[Path]:
-    """The paths at which some value of the column `v` (VARIANT) of `docs` has a list. Only paths come to the driver, never rows."""
+def infer_lists(docs: DataFrame) -> set[Path]:
+    """The paths at which some value of the column `v` (VARIANT) of `docs` has a list, however deep. Only paths come to the driver, never rows."""
 
     def look(frame: DataFrame, base: Path) -> set[Path]:
         text = F.regexp_replace(F.schema_of_variant("v"), _LEAF, "")
         found = frame.where("v is not null").select(text.alias("s")).distinct().mapInPandas(_parse, "path array<string>, kind string").distinct().collect()
         lists = {base + tuple(r.path) for r in found if r.kind == "list"}
         for r in found:
-            if r.kind == "mixed" and len(base) + len(r.path) < max_depth:
+            if r.kind == "mixed":  # the path has a step at least, so the data's own depth ends this
                 lists |= look(_values(frame, tuple(r.path)), base + tuple(r.path))
         return lists
 

@@ -85,3 +85,15 @@ def test_edge_cases(spark):
     assert flatten(df.limit(0), "id", ["col"]).count() == 0
     t = child_table(flatten(df, "id", ["col"], keep_values=True), "id", "col[].a[].b", {"c": "string"})
     assert sorted((r.id, r.node, r.parent, r.ordinal, r.c) for r in t.collect()) == [(1, "col[0].a[0].b[0]", "col[0].a[0]", 0, None), (1, "col[0].a[0].b[3]", "col[0].a[0]", 3, "x"), (1, "col[0].a[2].b[0]", "col[0].a[2]", 0, "lone")]
+
+
+def test_mixed_values_at_any_depth(spark):
+    from lectern.operators.nested import infer_lists
+    from pyspark.sql import functions as F
+
+    value = [1, {"b": [{"c": 1}]}]
+    for _ in range(14):
+        value = [{"a": value}]
+    docs = spark.createDataFrame([(json.dumps(value),)], "s string").select(F.try_parse_json("s").alias("v"))
+    found = infer_lists(docs)
+    assert max(found, key=len)[-1] == "b" and len(found) == 16
