@@ -3,7 +3,8 @@
 Every round draws for each vertex u a shift d(u) ~ Exp(beta) from a hash of (u, round). Clusters grow from their centres as if
 centre c started at time -d(c): a vertex joins the centre that maximises d(c) - distance(c, u). Growth runs for a fixed number of
 steps; each cluster is contracted to a super-vertex (its centre), the edges between clusters are relabelled and deduplicated, and the
-next round works on those only. The rounds' assignments are composed from the last to the first.
+next round works on those only. The rounds' assignments are composed from the last to the first. A small beta makes the shifts
+differ by much more than the growth steps, so that a component within reach of its largest shift is one cluster after one round.
 
 The first growth step needs no join, because a neighbour's shift is a function of its id. Every step is a partially aggregated
 max per vertex, so a hub that holds a third of all edges is combined on the map side. Cutting growth short is safe: a vertex only ever
@@ -12,11 +13,8 @@ takes the name of a vertex that it is connected to, and what is left between clu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,60 +48,29 @@ def grow(edges: DataFrame, rnd: int, beta: float, steps: int) -> DataFrame:
     return label.select(F.col("u").alias("v"), F.col("best.c").alias("c"))
 
 
-def _rest(beta: float) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The same rounds within one task, for what is left of the graph once that is small: growth to the end, contraction, recursion."""
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(parts)
-        src, dst = (np.concatenate([p[c].to_numpy() for p in parts] or [np.empty(0, np.int64)]) for c in ("src", "dst"))
-        names, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        a, b = np.split(ends, 2)
-        group = np.arange(len(names))
-        rng = np.random.default_rng(len(names))
-        while len(a):
-            d, c = rng.exponential(1 / beta, len(names)), np.arange(len(names))
-            while True:
-                # every vertex hears its neighbours; the largest shift less distance wins, ties go to the larger centre
-                to, by = np.concatenate([a, b]), np.concatenate([b, a])
-                order = np.lexsort((c[by], d[by], to))
-                to, by = to[order], by[order]
-                last = np.flatnonzero(np.append(to[1:] != to[:-1], True))
-                v, w = to[last], by[last]
-                better = (d[w] - 1 > d[v]) | (d[w] - 1 == d[v]) & (c[w] > c[v])
-                if not better.any():
-                    break
-                d[v[better]], c[v[better]] = d[w[better]] - 1, c[w[better]]
-            group = c[group]
-            a, b = c[a], c[b]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-            a, b = pairs[:, 0], pairs[:, 1]
-        yield pd.DataFrame({"v": names, "c": names[group]})
-
-    return run
-
-
-def connected_components(edges: DataFrame, beta: float = 0.3, steps: int = 4, max_rounds: int = 200, small_edges: int = 50_000) -> DataFrame:
+def connected_components(edges: DataFrame, beta: float = 0.002, steps: int = 5, most_steps: int = 16, max_rounds: int = 200) -> DataFrame:
     """(v, component) for every vertex of `edges(src BIGINT, dst BIGINT)`; component is some vertex of v's component.
 
     Null ends and loops are no edges and repeated edges count once; other columns are ignored. No edges: no rows. A vertex without
-    an edge doesn't appear; callers give it its own id. When at most `small_edges` edges are left, which is counted before each
-    round, the remaining rounds run in one task instead of as jobs of their own.
+    an edge doesn't appear; callers give it its own id. All rounds are distributed, however few edges are left. A round that
+    leaves more than an eighth of its edges (long chains) doubles the growth steps of the next, up to `most_steps`.
     """
     edges = cut(_clean(edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))))
     maps: list[DataFrame] = []
+    left = edges.count()
     for rnd in range(max_rounds):
-        left = edges.count()
         if not left:
             break
-        if left <= small_edges:
-            maps.append(cut(edges.coalesce(1).mapInPandas(_rest(beta), "v long, c long")))
-            break
         assigned = cut(grow(edges, rnd, beta, steps))
         maps.append(assigned)
         a, b = assigned.select(F.col("v").alias("src"), F.col("c").alias("s")), assigned.select(F.col("v").alias("dst"), F.col("c").alias("t"))
+        # edges inside a cluster are gone after the joins, mostly all of them
         edges = cut(_clean(edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))))
+        before, left = left, edges.count()
+        steps = min(2 * steps, most_steps) if 8 * left > before else steps
     else:
-        raise RuntimeError(f"not contracted after {max_rounds} rounds")
+        if left:
+            raise RuntimeError(f"not contracted after {max_rounds} rounds")
     if not maps:
         return edges.select(F.col("src").alias("v"), F.col("dst").alias("component"))
 
