@@ -1,9 +1,10 @@
 """Problem 3: the same work in different sources, without a common identifier.
 
-A cascade of deterministic rules. Every rule is an exact join on an attribute combination, each weaker than the one before. Rules of
-like strength share a pass, and the pairs that an earlier pass has resolved are anti-joined before the later one verifies anything.
+A deterministic cascade. Every rule is an exact join on an attribute combination, each weaker than the one before, and has a pass of its own:
+records that an earlier pass has resolved are anti-joined before their keys are made, so a pass joins the records still open with all.
 Candidates are verified in the JVM (edit distance of titles, series marks, years, authors). A rule's confidence is its precision on
-the candidate pairs whose both sides carry a catalogue id, smoothed by Laplace's rule of succession.
+the pairs of its own pass whose both sides carry a catalogue id, smoothed by Laplace's rule of succession; a rule whose confidence is too
+low resolves nothing. Equal catalogue ids link groups before the cascade, but resolve no record, so that they can serve as labels.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bundles import bundle_groups
@@ -43,6 +45,7 @@ def _letters(text: str) -> str:
     return "".join(c for c in text if c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
+@lru_cache(50_000)
 def title_parts(raw: str) -> tuple[str, str, str, bool]:
     """(letters of the title without its series mark, letters of its part before a colon or "", mark, is it cut short?)"""
     t = re.sub(r"<[^<>]{1,20}>|[{}$\\]", "", raw).strip()
@@ -65,59 +68,70 @@ def title_parts(raw: str) -> tuple[str, str, str, bool]:
     return letters, head if 12 <= len(head) < len(letters) else "", mark, short
 
 
-def _load(text: object) -> dict:
-    for _ in range(2):
-        try:
-            text = json.loads(text) if isinstance(text, str) else text
-        except ValueError:
-            return {}
-    return text if isinstance(text, dict) else {}
+@lru_cache(50_000)
+def _words(name: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(the words of a name that may be its surname, the likeliest of them)."""
+    org, toks = parse(name)
+    # names of other scripts may be of two or three letters
+    words = [(t, r) for t, r in toks if (len(t) > 3 or len(t) > 1 and not t.isascii()) and t not in ORG_WORDS]
+    if org:
+        return (words[0][0],) * bool(words), (words[0][0],) * bool(words)
+    said = tuple(t for t, r in words if r == "S")
+    return said or tuple(t for t, _ in words), said or tuple(sorted((t for t, _ in words), key=len)[-1:])
 
 
-def _surnames(authors: object) -> tuple[list[str], list[str]]:
-    """(all words of the names but initials, the likeliest surname of each name)."""
-    out, likely = set(), set()
+def _surnames(text: object) -> tuple[list[str], list[str]]:
+    """(all words of the names but initials, the likeliest surname of each name) of authors as JSON or as a bare name."""
+    authors: object = text
+    if isinstance(text, str) and text[:1] in ("[", "{"):
+        try:
+            authors = json.loads(text)
+        except ValueError:
+            return [], []
+    out: set[str] = set()
+    likely: set[str] = set()
     for a in authors if isinstance(authors, list) else [authors]:
         if isinstance(a, dict):
             inner = a.get("author")
             a = a.get("name") or (inner.get("display_name") if isinstance(inner, dict) else None)
         if isinstance(a, str) and a.strip():
-            org, toks = parse(a)
-            # names of other scripts may be of two or three letters
-            words = [(t, r) for t, r in toks if (len(t) > 3 or len(t) > 1 and not t.isascii()) and t not in ORG_WORDS]
-            said = [t for t, r in words if r == "S"]
-            out |= set(words[0][:1] if org and words else said or [t for t, _ in words])
-            likely |= set(words[0][:1] if org and words else said or sorted((t for t, _ in words), key=len)[-1:])
+            words, best = _words(a)
+            out.update(words)
+            likely.update(best)
     return sorted(out), sorted(likely)
 
 
 def _described(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         rows = []
-        for i, work, *texts in p[["id", "work_id", "pdf_metadata", "crossref_metadata", "openalex_metadata"]].itertuples(index=False, name=None):
-            sources = [_load(t) for t in texts]
-            ids = [x for x in (sources[2].get("id"), work) if isinstance(x, str) and re.search(r"/W\d+$", x)]
-            for s in sources:
-                if isinstance(s.get("title"), str) and (parts_ := title_parts(s["title"]))[0]:
-                    m = re.search(r"\d{4}", str(s.get("year")))
-                    rows.append((i, ids[0] if ids else None, *parts_, *_surnames(s.get("authors")), int(m[0]) if m else None))
+        for i, work, oid, *texts in p.itertuples(index=False, name=None):
+            named = next((x for x in (oid, work) if isinstance(x, str) and re.search(r"/W\d+$", x)), None)
+            for title, authors, year in zip(texts[::3], texts[1::3], texts[2::3]):
+                if isinstance(title, str) and (parts_ := title_parts(title))[0]:
+                    m = re.search(r"\d{4}", year or "")
+                    rows.append((i, named, *parts_, *_surnames(authors), int(m[0]) if m else None))
         out = pd.DataFrame(rows, columns=["id", "catalogue", "title", "main", "mark", "open", "authors", "surnames", "year"])
         yield out.astype({"year": "Int32", "id": "int64", "open": bool})
 
 
 def descriptions(bundles: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per title that a source of a bundle gives; unreadable, null and misshapen metadata give none."""
-    texts = ["pdf_metadata", "crossref_metadata", "openalex_metadata"]
-    said = bundles.where("id is not null").select("id", "work_id", *texts).mapInPandas(_described, SCHEMA)
-    return said.join(groups.select("id", F.col("group_id").alias("g")), "id")
+    """One row per title that a source of a bundle gives; unreadable, null and misshapen metadata give none.
 
+    Spark's JSON reader takes the few fields out of the documents, so that only they go to Python."""
+    def said(c: str) -> Column:
+        text = F.when(F.ltrim(c).startswith('"'), F.get_json_object(c, "$")).otherwise(F.col(c))
+        return F.from_json(text, "id string, title string, authors string, year string").alias(c[0])
 
-#: The rules of each pass; a pass doesn't look again at pairs that an earlier one has resolved.
-PASSES = [(0, 2), (3, 7)]
+    read = bundles.where("id is not null").select("id", "work_id", *map(said, ("pdf_metadata", "crossref_metadata", "openalex_metadata")))
+    slim = read.select("id", "work_id", F.col("o.id").alias("oid"), *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "pco" for f in ("title", "authors", "year")])
+    return slim.mapInPandas(_described, SCHEMA).join(groups.select("id", F.col("group_id").alias("g")), "id")
+
+
+CATALOGUE = "catalogue id"
 
 
 def rules() -> list[tuple[str, Column]]:
-    """(name, keys) from strong to weak, for a record of `records`; without the attributes it has no key."""
+    """(name, keys) from strong to weak, for a record; without the attributes it has no key."""
     near = F.array_distinct(F.flatten(F.transform("own_years", lambda y: F.array(y, y + 1))))
     # a character of these scripts says as much as two letters or more
     dense = F.col("title").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
@@ -132,7 +146,6 @@ def rules() -> list[tuple[str, Column]]:
     # every pair, as a misspelt or extra name may stand between two right ones in the sorted list
     couples = F.flatten(F.transform("surnames", lambda a, i: F.transform(F.slice("surnames", i + 2, F.size("surnames")), lambda b: keys(a, b))))
     return [
-        ("catalogue id", F.when(F.col("catalogue").isNotNull(), F.array(keys("catalogue")))),
         ("title, author", F.when(whole, each(lambda a: keys("title", "mark", a)))),
         ("title, year", F.when(whole, F.transform(near, lambda y: keys("title", "mark", y)))),
         ("title end, author, year", F.when(long, dated(lambda y: each(lambda a: keys(back, a, y))))),
@@ -156,11 +169,6 @@ def _pieces() -> Column:
     return F.when(F.col("open"), F.array(*[piece(n, at) for n, at in own + moved])).otherwise(F.array(*[piece(n, at) for n, at in own]))
 
 
-def _tagged(rule: int):
-    """The rule in the last three bits of its key."""
-    return lambda key: key.bitwiseAND(-8).bitwiseOR(rule)
-
-
 #: The fields of `packed`: name, first bit, bits.
 FIELDS = [("len", 0, 15), ("head", 15, 15), ("open", 30, 1), ("from", 31, 14), ("to", 45, 14)]
 
@@ -215,50 +223,68 @@ def agrees() -> Column:
     return (years(1) | unknown) & (longer - shorter < 90) & same_title & (~unknown | met & most) & (met | nobody & (a == b) & ~unknown)
 
 
-def matched_groups(bundles: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def records_of(said: DataFrame) -> DataFrame:
+    """One record per title of a group, with the years and the catalogue id of the whole group; a title's authors are pooled, so the
+    keys grow with the titles and not with their product."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    titles = said.groupBy("g", "title", "main", "mark", "open").agg(union("authors").alias("authors"), union("surnames").alias("surnames"), F.collect_set("year").alias("own_years"), F.max("catalogue").alias("catalogue"))
+    group = Window.partitionBy("g")
+    pooled = titles.withColumn("years", F.array_sort(F.array_distinct(F.flatten(F.collect_set("own_years").over(group))))).withColumn("catalogue", F.max("catalogue").over(group))
+    return pooled.withColumn("rid", F.monotonically_increasing_id())
+
+
+def candidates(records: DataFrame, keys: Column, resolved: DataFrame | None, cut_titles: bool) -> DataFrame:
+    """(l_rid, r_rid): the pairs of an open and any record of different groups with a common key and near lengths and years."""
+    none = F.array().cast("array<bigint>")
+    # only numbers are joined on; the texts come in once per pair
+    slim = records.select("rid", "g", packed().alias("pack"), F.coalesce(F.array_distinct(keys), none).alias("keys")).where(F.size("keys") > 0)
+    if resolved is not None:
+        slim = slim.join(resolved.withColumn("done", F.lit(True)), "g", "left")
+    else:
+        slim = slim.withColumn("done", F.lit(None).cast("boolean"))
+    keyed = slim.select("rid", "g", "pack", "done", F.explode("keys").alias("key"))
+    l, r = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "pack", "done")]) for x in "lr")
+    met = l.where("l_done is null").join(r, "key").where("l_g < r_g or l_g > r_g and r_done").where(may_agree())
+    if cut_titles:
+        met = met.where(cut_off())
+    return met.select("l_rid", "r_rid")
+
+
+def matched_groups(bundles: DataFrame, groups: DataFrame, min_confidence: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """(pairs of groups (g, h, rule, confidence), descriptions).
 
     Empty tables, bundles without readable metadata and groups like no other give no pairs. A description with a null year agrees with
     any year if an author agrees; one without authors only with an equal title of a near year. Repeated descriptions of a group
-    count once, so a group of any size is one record for the joins.
+    count once, so a group of any size is one record for the joins. Rules of a confidence under `min_confidence` give no pairs.
     """
     said = cut(descriptions(bundles, groups))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    # one record per title of a group; a title's authors are pooled, so the keys grow with the titles and not with their product
-    titles = said.groupBy("g", "title", "main", "mark", "open").agg(union("authors").alias("authors"), union("surnames").alias("surnames"), F.collect_set("year").alias("own_years"))
-    pooled = said.groupBy("g").agg(F.array_sort(F.collect_set("year")).alias("years"), F.max("catalogue").alias("catalogue"))
-    records = cut(titles.join(pooled, "g").withColumn("rid", F.monotonically_increasing_id()))
-    none = F.array().cast("array<bigint>")
-    tried: DataFrame | None = None
-    for first, last in PASSES:
-        made = [F.coalesce(F.transform(keys, _tagged(n)), none) for n, (_, keys) in enumerate(rules()) if first <= n <= last]
-        # only numbers are joined on; the texts come in once per distinct pair. What `agrees` says about lengths and years holds of the
-        # numbers already and leaves few pairs
-        keyed = records.select("rid", "g", F.when(F.col("catalogue").isNotNull(), F.hash("catalogue")).alias("cat"), packed().alias("pack"), F.explode(F.array_distinct(F.concat(*made))).alias("key"))
-        l, r = (keyed.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rid", "g", "cat", "pack")]) for x in "lr")
-        rule = F.col("key").bitwiseAND(7).cast("int")
-        met = l.join(r, "key").where("l_g < r_g").where((rule == 0) | may_agree()).where((rule < 7) | cut_off()).withColumn("rule", rule)
-        same = (F.min("l_cat") == F.min("r_cat")).cast("int")  # null unless both are known
-        met = met.groupBy("l_rid", "r_rid").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"), F.min("l_g").alias("l_g"), F.min("r_g").alias("r_g"), same.alias("label"))
-        if tried is not None:
-            # pairs with a label stay, to score the rules of this pass on
-            met = met.join(tried.where("label is null").select(F.col("g").alias("l_g"), F.col("h").alias("r_g")).distinct(), ["l_g", "r_g"], "left_anti")
-        # equal titles with an equal author and near years agree by their keys alone
-        sure = F.col("mask").bitwiseAND(6) == 6
-        sides = [records.select(F.col("rid").alias(f"{x}_rid"), *[F.col(c).alias(f"{x}_{c}") for c in ("title", "main", "mark", "open", "authors", "years")]) for x in "lr"]
-        pairs = met.where(~sure).join(sides[0], "l_rid").join(sides[1], "r_rid")
-        read = pairs.withColumn("mask", F.when(agrees(), F.col("mask")).otherwise(F.col("mask").bitwiseAND(1))).where("mask > 0")
-        cols = ["l_g", "r_g", "mask", "label"]
-        found = met.where(sure).select(*cols).unionByName(read.select(*cols)) if first == 0 else read
-        found = found.groupBy(F.col("l_g").alias("g"), F.col("r_g").alias("h")).agg(F.bit_or("mask").alias("mask"), F.max("label").alias("label"))
-        tried = cut(found if tried is None else tried.unionByName(found))
-    # labelled precision of all that a rule finds, resolved before or not; a pair with different catalogue ids is no match, whatever else agrees
-    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(rules()) - 1)), lambda n: F.col("mask").bitwiseAND(F.pow(F.lit(2), n).cast("int")) > 0)).alias("rule")
-    by_rule = tried.select("g", "h", "label", at)
-    scored = by_rule.groupBy("rule").agg(((F.sum(F.coalesce("label", F.lit(0))) + 1) / (F.count("label") + 2)).alias("confidence"))
-    names = F.element_at(F.array(*[F.lit(n) for n, _ in rules()]), F.col("rule") + 1)
-    linked = by_rule.where("coalesce(label, 1) = 1").groupBy("g", "h").agg(F.min("rule").alias("rule"))
-    pairs = linked.join(F.broadcast(scored), "rule").select("g", "h", names.alias("rule"), "confidence")
+    records = cut(records_of(said))
+    text = ["title", "main", "mark", "open", "authors", "years", "g"]
+    sides = [records.select(F.col("rid").alias(f"{x}_rid"), F.when(F.col("catalogue").isNotNull(), F.xxhash64("catalogue")).alias(f"{x}_cat"), *[F.col(c).alias(f"{x}_{c}") for c in text]) for x in "lr"]
+    # the groups of one catalogue id: a star, not all pairs
+    same_id = records.where("catalogue is not null").select("catalogue", "g").distinct()
+    first = same_id.groupBy("catalogue").agg(F.min("g").alias("first"))
+    by_id = same_id.join(first, "catalogue").where("g > first").select(F.col("first").alias("g"), F.col("g").alias("h"), F.lit(CATALOGUE).alias("rule"))
+    # the ids are the labels and can't score themselves: their links count as right
+    ids = by_id.count()
+    links = [by_id.withColumn("confidence", F.lit((ids + 1) / (ids + 2)))]
+    resolved: DataFrame | None = None
+    for name, keys in rules():
+        # pairs meet their left texts where equal pairs become one
+        met = candidates(records, keys, resolved, name.startswith("title piece")).repartition("l_rid").distinct()
+        pairs = met.join(sides[0], "l_rid").join(sides[1], "r_rid").where(agrees())
+        found = cut(pairs.select(F.least("l_g", "r_g").alias("g"), F.greatest("l_g", "r_g").alias("h"), (F.col("l_cat") == F.col("r_cat")).cast("int").alias("label")).distinct())
+        n = found.agg(F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).alias("right")).first()
+        confidence = (n.right + 1) / (n.known + 2)
+        if confidence < min_confidence:
+            continue
+        # a pair with different catalogue ids is no match, whatever else agrees
+        sure = found.where("coalesce(label, 1) = 1")
+        links.append(sure.select("g", "h", F.lit(name).alias("rule"), F.lit(confidence).alias("confidence")))
+        new = sure.select("g").union(sure.select("h"))
+        resolved = (new if resolved is None else resolved.union(new)).distinct()
+    order = F.struct("confidence", "rule")
+    pairs = reduce(DataFrame.unionByName, links).groupBy("g", "h").agg(F.max(order).alias("best")).select("g", "h", "best.rule", "best.confidence")
     return pairs, said
 
 
@@ -268,12 +294,13 @@ def same_works(bundles: DataFrame, works: DataFrame, min_confidence: float = 0.3
     Links between groups of at least `min_confidence` are closed transitively; a pair that only others connect gets the smallest
     confidence of its work's links. Bundles without a title that has a letter or digit of any script are in no pair.
     """
-    groups = bundle_groups(bundles, works)
-    pairs, said = matched_groups(bundles, groups)
-    pairs = cut(pairs.where(F.col("confidence") >= min_confidence))
-    part = cut(connected_components(pairs.select(F.col("g").alias("src"), F.col("h").alias("dst"))).withColumnRenamed("v", "g"))
-    weakest = pairs.join(part, "g").groupBy("component").agg(F.min("confidence").alias("weakest"))
+    groups = cut(bundle_groups(bundles, works).select("id", "group_id"))
+    pairs, said = matched_groups(bundles, groups, min_confidence)
+    pairs = cut(pairs)
+    part = connected_components(pairs.select(F.col("g").alias("src"), F.col("h").alias("dst"))).withColumnRenamed("v", "g")
     own = cut(said.select("id", "g").distinct().join(part, "g"))
+    placed = own.select("g", "component").distinct()
+    weakest = pairs.join(placed, "g").groupBy("component").agg(F.min("confidence").alias("weakest"))
     a, b = own.select(F.col("id").alias("id_a"), F.col("g").alias("ga"), "component"), own.select(F.col("id").alias("id_b"), F.col("g").alias("gb"), "component")
     out = a.join(b, "component").where("id_a < id_b and ga <> gb").join(weakest, "component")
     direct = pairs.select(F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"), "confidence")
