@@ -28,6 +28,11 @@ from lectern.plans.runtime import cut, table
 MARKS = ["areplication", "revisited", "areply", "acomment", "erratum", "corrigendum", "addendum", "correction", "secondedition"]
 PART = re.compile(r"\W*\b(?:part|pt|vol|volume|no|number|chapter|book|teil|band|del|partie|parte|tome)\.?\s*([ivxlc]{1,5}|\d{1,3})\W*$", re.I)
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+_MARKUP = re.compile(r"<[^<>]{1,20}>|[{}$\\]")
+_MISREAD = re.compile(r"(?<=[a-z])[0159](?=[a-z]|\b)|\b[0159](?=[a-z]{2})")
+_OTHER = re.compile(r"[^a-z0-9]+")
+_YEAR = re.compile(r"\d{4}")
+_WORK = re.compile(r"/W\d+$")
 SCHEMA = "id long, catalogue string, title string, main string, mark string, open boolean, authors array<string>, surnames array<string>, year int"
 
 
@@ -41,21 +46,22 @@ def _number(text: str) -> int:
 def _letters(text: str) -> str:
     """The letters and digits of any script, with the vowel signs that some scripts write as marks."""
     if text.isascii():
-        return re.sub(r"[^a-z0-9]", "", text)
+        return _OTHER.sub("", text)
     return "".join(c for c in text if c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
 @lru_cache(50_000)
 def title_parts(raw: str) -> tuple[str, str, str, bool]:
     """(letters of the title without its series mark, letters of its part before a colon or "", mark, is it cut short?)"""
-    t = re.sub(r"<[^<>]{1,20}>|[{}$\\]", "", raw).strip()
-    short = bool(re.search(r"(?:\.\.\.|…)$", t))
-    t = re.sub(r"(?:\.\.\.|…)$", "", t) if short else t
+    t = _MARKUP.sub("", raw).strip()
+    short = t.endswith(("...", "…"))
+    t = t.removesuffix("…").removesuffix("...") if short else t
     t = fold(t)
     # digits inside words are misread letters
-    t = re.sub(r"(?<=[a-z])[0159](?=[a-z]|\b)|\b[0159](?=[a-z]{2})", lambda m: {"0": "o", "1": "l", "5": "s", "9": "g"}[m[0]], t)
+    t = _MISREAD.sub(lambda m: {"0": "o", "1": "l", "5": "s", "9": "g"}[m[0]], t)
     mark = ""
-    if m := PART.search(t):
+    tail = t.rstrip("\t \n.,;:!?()[]'\"-")[-1:]
+    if (tail in "ivxlc0123456789" or not tail.isalnum()) and (m := PART.search(t)):
         mark, t = f"part {_number(m[1])}", t[: m.start()]
     letters = _letters(t)
     for end in MARKS:
@@ -105,10 +111,10 @@ def _described(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
         rows = []
         for i, work, oid, *texts in p.itertuples(index=False, name=None):
-            named = next((x for x in (oid, work) if isinstance(x, str) and re.search(r"/W\d+$", x)), None)
+            named = next((x for x in (oid, work) if isinstance(x, str) and _WORK.search(x)), None)
             for title, authors, year in zip(texts[::3], texts[1::3], texts[2::3]):
                 if isinstance(title, str) and (parts_ := title_parts(title))[0]:
-                    m = re.search(r"\d{4}", year or "")
+                    m = _YEAR.search(year or "")
                     rows.append((i, named, *parts_, *_surnames(authors), int(m[0]) if m else None))
         out = pd.DataFrame(rows, columns=["id", "catalogue", "title", "main", "mark", "open", "authors", "surnames", "year"])
         yield out.astype({"year": "Int32", "id": "int64", "open": bool})

@@ -72,24 +72,34 @@ def distance(a: str, b: str, most: int = 2) -> int:
     return row[-1]
 
 
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?\.?")
+_BRACKETS = re.compile(r"\([^)]*\)")
+_ET_AL = re.compile(r"\W+et\s+al\.?\s*$", re.I)
+_GLUED = re.compile(r"(?<=[^\W\d_])(?<=[a-zß-öø-ÿāăąćčďđēęěğīıłńňōőřśşšťūůűźżž])(?=[A-ZÀ-ÖØ-ÞĀŁŚŠŽ])")
+_DOUBLE = re.compile(r"\s([^\W\d_]{5,})-([^\W\d_]{5,})\s*$")
+
+
 @lru_cache(50_000)
 def parse(name: str) -> tuple[bool, list[tuple[str, str]]]:
     """(is it an organisation, tokens (text, role)); roles: S surname, G given name, ? unknown; initials are single letters."""
-    s = re.sub(r"\([^)]*\)", " ", unicodedata.normalize("NFC", name))
-    s = re.sub(r"\W+et\s+al\.?\s*$", "", s, flags=re.I)
-    s = re.sub(r"(?<=[^\W\d_])(?<=[a-zß-öø-ÿāăąćčďđēęěğīıłńňōőřśşšťūůűźżž])(?=[A-ZÀ-ÖØ-ÞĀŁŚŠŽ])", " ", s)
+    s = name if name.isascii() else unicodedata.normalize("NFC", name)
+    s = _BRACKETS.sub(" ", s) if "(" in s else s
+    s = _ET_AL.sub("", s) if "al" in s.lower() else s
+    s = _GLUED.sub(" ", s)
     comma = s.split(",", 1) if "," in s else None
-    words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?\.?", s.replace("-", " - "))
-    if any(fold(w.rstrip(".")) in ORG_WORDS for w in words):
-        toks = [(fold(w.rstrip(".")), "?") for w in words]
-        return True, [t for t in toks if t[0] not in ORG_STOP]
+    words = _TOKEN.findall(s)
+    folded = [fold(w.rstrip(".")) for w in words]
+    if not ORG_WORDS.isdisjoint(folded):
+        return True, [(t, "?") for t in folded if t not in ORG_STOP]
     mixed = not s.isupper()
 
     def split(part: str, role: str) -> list[tuple[str, str]]:
         out = []
-        for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?\.?", part):
+        for w in _TOKEN.findall(part):
             bare = w.rstrip(".")
-            low = fold(bare).replace("'", "").replace("’", "")
+            low = fold(bare)
+            if not low.isalpha():
+                low = low.replace("'", "").replace("’", "")
             if (low in TITLES and len(bare) > 1 or low in PARTICLES) and not (bare.isupper() and mixed):
                 continue
             if len(bare) == 1:
@@ -104,7 +114,7 @@ def parse(name: str) -> tuple[bool, list[tuple[str, str]]]:
 
     if comma:
         return False, split(comma[0], "S") + split(comma[1], "G")
-    double = re.search(r"\s([^\W\d_]{5,})-([^\W\d_]{5,})\s*$", s)
+    double = _DOUBLE.search(s) if "-" in s else None
     if double:  # a double surname at the end
         return False, split(s[: double.start()], "G") + [(fold(x), "S") for x in double.groups()]
     toks = split(s, "?")
