@@ -1,21 +1,24 @@
 """Problem 2: noise in text from scanned pages.
 
-1. One pass counts words, hyphenated compounds and edge lines (lines beside a page break) over all texts.
+1. One pass over the texts lays out their lines and emits every word, hyphenated compound, joined neighbour and edge line (a line beside a
+   page break) that a text holds or wants to look up, with its count there; the counts over all texts are an aggregation of that.
 2. Rare words are joined in SQL with frequent confusable variants: the anagram hash of a word is the sum of the fifth powers of its
-   characters, so a misreading shifts it by a known difference, and "rare hash + difference = frequent hash" is an equi-join.
-   Candidates are verified by position and ranked by frequency.
-3. Each text looks up the counts and corrections of its own words, and a last pass per text marks or repairs its lines: edge lines
+   characters, so a misreading shifts it by a known difference, and "rare hash + difference = frequent hash" is an equi-join of numbers.
+   Only the words that meet there are compared by position, and ranked by frequency.
+3. Each text gets the counts and corrections of its own words, and a last pass per text marks or repairs its lines: edge lines
    out, words cut at line ends joined on the evidence of the counts, misread words replaced.
 
-Nothing is collected: statistics are joined to the texts, never broadcast by hand.
+Nothing is collected: statistics are joined to the texts by shuffles, because the planner can't know how large texts and their words get.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,14 +46,19 @@ NUMBERED = re.compile(r"^\s*[0-9lIO]{1,5}\s{2,}(?=\S)|(?<=\S)\s{2,}[0-9lIO]{1,5}
 _FOLD = str.maketrans({"é": "e", "à": "a", "г": "r", "а": "a", "е": "e", "о": "o", "р": "p", "с": "e", "c": "e", "f": "t", "1": "l", "i": "l", "0": "o", "5": "s", "9": "g", "4": "a", "6": "b", "v": "y"})
 
 
+_LIGATED = str.maketrans(LIGATURES)
+
+
 def fold(text: str) -> str:
     """Lower case, blanks out, and whatever scanners confuse made equal."""
-    t = "".join(LIGATURES.get(c, c) for c in text.lower() if not c.isspace())
+    t = "".join(text.lower().split())
+    t = t if t.isascii() else t.translate(_LIGATED)
     for a, b in (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h")):
         t = t.replace(a, b)
     return t.translate(_FOLD)
 
 
+@lru_cache(100_000)
 def canonical(word: str) -> str:
     """A capital first letter is lowered; other capitals stay, because I and l are confused inside words."""
     return word[:1].lower() + word[1:] if word[1:2] and not word[1:].isupper() else word
@@ -81,118 +89,158 @@ def _layout(text: str) -> tuple[list[str], list[bool], list[bool]]:
 
 
 def _line_key(line: str) -> str:
-    """A line without page number and digits, folded and cut to a fixed length."""
-    return re.sub(r"[\W\d_]+", "", fold(re.sub(r"\b[\dlIO]*\d[\dlIO]*\b", "", NUMBERED.sub("", line))))[:60]
+    """A name of the whole line without page number and digits, folded; empty for lines with less than eight letters."""
+    key = re.sub(r"[\W\d_]+", "", fold(re.sub(r"\b[\dlIO]*\d[\dlIO]*\b", "", NUMBERED.sub("", line))))
+    return hashlib.blake2b(key.encode(), digest_size=12).hexdigest() if len(key) >= 8 else ""
+
+
+_AT_END = re.compile(rf"([^\W_]+)([{HYPHENS}])\s*$")
 
 
 def _cuts(lines: list[str], skip: list[bool]) -> list[tuple[int, int, str, str, str]]:
     """(line, next line, start of the word, mark, rest of the word) of every word at a line's end with a hyphen."""
     out = []
-    for i, line in enumerate(lines):
-        m = None if skip[i] else re.search(rf"([^\W_]+)([{HYPHENS}])\s*$", line)
-        if m:
-            j = next((j for j in range(i + 1, min(len(lines), i + 12)) if lines[j].strip() and not skip[j]), None)
-            b = WORD.match(lines[j].strip()) if j is not None else None
-            if b:
-                out.append((i, j, m[1], m[2], b[0]))
-    return out
+    follows: int | None = None
+    for i in range(len(lines) - 1, -1, -1):
+        line = lines[i]
+        m = None if skip[i] or follows is None or line.rstrip()[-1:] not in HYPHENS else _AT_END.search(line)
+        if m and (b := WORD.match(lines[follows].strip())):
+            out.append((i, follows, m[1], m[2], b[0]))
+        if line.strip() and not skip[i]:
+            follows = i
+    return out[::-1]
 
 
-def _tokens(text: str) -> Iterator[str]:
-    lines, pages, edge = _layout(text)
-    broken = {x for i, j, a, _, b in _cuts(lines, pages) for x in ((i, a), (j, b))}
-    for i, line in enumerate(lines):
-        if pages[i] or not line.strip():
-            continue
-        key = _line_key(line)
-        if len(key) >= 8:
-            yield "A\t" + key
-            if edge[i]:
-                yield "E\t" + key
-        for w in WORD.findall(line):
-            if (i, w) not in broken:
-                yield canonical(w)
-        for m in COMPOUND.finditer(line):
-            parts = re.split("[-‐]", m[0].lower())
-            yield from (f"{a}-{b}" for a, b in zip(parts, parts[1:]))
+_NEIGHBOURS = re.compile(r"(?=\b([^\W\d_]+) ([^\W\d_]+)\b)")
 
 
-def _asked(text: str) -> set[str]:
-    """The words, joined neighbours, words cut at line ends and edge lines that a text wants to look up."""
+def _looked_up(text: str) -> Counter:
+    """What a text says or wants to know: words, compounds, lines (A: anywhere, E: at a page edge) with their counts in it; joined
+    neighbours and words cut at line ends, which it doesn't say itself, count 0."""
     lines, pages, edge = _layout(text)
+    cuts = _cuts(lines, pages)
+    broken = {x for i, j, a, _, b in cuts for x in ((i, a), (j, b))}
+    said: Counter = Counter()
     want = set()
     for i, line in enumerate(lines):
         words = WORD.findall(line)
         want.update(map(canonical, words))
-        for m in re.finditer(r"(?=\b([^\W\d_]+) ([^\W\d_]+)\b)", line):
-            if 3 <= len(m[1]) + len(m[2]) <= 30 or m[1] + m[2] == "an":
-                want.add(canonical(m[1] + m[2]))
-        if edge[i] and len(key := _line_key(line)) >= 8:
-            want |= {"A\t" + key, "E\t" + key}
-    for k, (i, _, a, _, b) in enumerate(_cuts(lines, pages)):
-        want |= {canonical(a + b), f"{a.lower()}-{b.lower()}", canonical(a), canonical(b)}
+        for m in _NEIGHBOURS.finditer(line):
+            want.add(canonical(m[1] + m[2]))
+        if pages[i] or not line.strip():
+            continue
+        if key := _line_key(line):
+            said["A\t" + key] += 1
+            if edge[i]:
+                said["E\t" + key] += 1
+        said.update(canonical(w) for w in words if (i, w) not in broken)
+        if "-" in line or "‐" in line:
+            for m in COMPOUND.finditer(line):
+                parts = re.split("[-‐]", m[0].lower())
+                said.update(f"{a}-{b}" for a, b in zip(parts, parts[1:]))
     # a running header may stand between the two parts
-    head = [i for i, e in enumerate(edge) if e]
-    if head:
-        skip = [p or e for p, e in zip(pages, edge)]
-        for i, _, a, _, b in _cuts(lines, skip):
-            want |= {canonical(a + b), f"{a.lower()}-{b.lower()}"}
-    return want
+    for _, _, a, _, b in [*cuts, *(_cuts(lines, [p or e for p, e in zip(pages, edge)]) if any(edge) else [])]:
+        want |= {canonical(a + b), f"{a.lower()}-{b.lower()}", canonical(a), canonical(b)}
+    for w in want:
+        said.setdefault(w, 0)
+    return said
+
 
+def _lookups(parts: Iterable[pd.DataFrame], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame({"uid": uids, "word": words, "n": counts}).astype({"uid": "int64", "word": object, "n": "int64"})
 
-def _counts(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in parts:
-        c = Counter(t for text in p["text"] for t in _tokens(text))
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())}).astype({"word": object, "n": "int64"})
+        uids: list[int] = []
+        words: list[str] = []
+        counts: list[int] = []
+        for u, text in zip(p["uid"], p["text"]):
+            c = _looked_up(text)
+            uids += [u] * len(c)
+            words += c
+            counts += c.values()
+            if len(uids) >= rows:
+                yield frame()
+                uids, words, counts = [], [], []
+        yield frame()
 
 
-def _wants(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        rows = [(u, w) for u, text in zip(p["uid"], p["text"]) for w in _asked(text)]
-        yield pd.DataFrame(rows, columns=["uid", "word"])
+#: Anagram hashes are sums modulo this prime: no word is too long and no character too large for them.
+MODULUS = 2**31 - 1
 
 
 def anagram(word: Column) -> Column:
-    """The sum of the fifth powers of the characters' code points."""
-    codes = F.transform(F.split(word, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c * c * c * c * c)
+    """The sum of the fifth powers of the characters' code points, each modulo a prime."""
+    def fifth(c: Column) -> Column:
+        square = c * c % MODULUS
+        return square * square % MODULUS * c % MODULUS
+
+    codes = F.transform(F.split(word, ""), lambda c: fifth(F.ascii(c).cast("long")))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a + c) % MODULUS
 
 
 def _power(text: str) -> int:
-    return sum(ord(c) ** 5 for c in text)
+    return sum(pow(ord(c), 5, MODULUS) for c in text)
+
 
+def _replaced(w: Column, bad: Column, good: Column) -> Column:
+    """All texts that `w` becomes when one `bad` in it is made `good`."""
+    places = F.filter(F.sequence(F.lit(1), F.length(w)), lambda p: F.substr(w, p, F.length(bad)) == bad)
+    return F.transform(places, lambda p: F.concat(F.substr(w, F.lit(1), p - 1), good, F.substr(w, p + F.length(bad))))
 
-def corrections(words: DataFrame, min_true: int = 4, ratio: float = 6.0, short_ratio: float = 30.0, strong_ratio: float = 2.0) -> DataFrame:
+
+def corrections(words: DataFrame, min_true: int = 4, ratio: float = 6.0, short_ratio: float = 30.0, strong_ratio: float = 2.0, confusions: list[tuple[str, str]] = CONFUSIONS) -> DataFrame:
     """(word, correction): each misread word of `words(word, n)` with its most frequent confusable variant.
 
     The variant has at least `min_true` occurrences and `ratio` times the word's (`short_ratio` for words under four letters,
-    `strong_ratio` where the misread character is a digit, Cyrillic or a grave accent). One or two misreadings in a word are found.
-    Ties go to the first variant in order. Null and empty words are never corrected; an empty table gives no rows.
+    `strong_ratio` where the misread character is a digit, Cyrillic or a grave accent). One misreading in a word is found, in words
+    of six characters or more two if there is no variant for one. Words of any length and script take part. Ties go to the last variant in
+    order. Null and empty words are never corrected; an empty table gives no rows.
     """
-    spark = words.sparkSession
     plain = r"^[\p{L}\p{M}]+$"
-    known = words.where((F.col("n") >= min_true) & F.col("word").rlike(plain) & (F.length("word") < 40)).select(F.col("word").alias("true"), F.col("n").alias("m"), anagram(F.col("word")).alias("h"))
-    # code points beyond 2000 would overflow the sum; such words hold no confusable character
-    rare = words.where(F.col("word").rlike(r"^[\p{L}\p{M}\d]{2,39}$") & F.col("word").rlike(r"^[\x{0}-\x{7cf}]+$") & ~F.col("word").rlike(r"^\d+$")).select("word", "n", anagram(F.col("word")).alias("h"))
-    known = known.where(F.col("true").rlike(r"^[\x{0}-\x{7cf}]+$"))
-    pairs = spark.createDataFrame([(a, b, _power(b) - _power(a), any(c in STRONG for c in a)) for a, b in CONFUSIONS], "bad string, good string, diff long, strong boolean")
-
-    def replaced(w: Column, bad: Column, good: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(1), F.length(w)), lambda p: F.substr(w, p, F.length(bad)) == bad)
-        return F.transform(places, lambda p: F.concat(F.substr(w, F.lit(1), p - 1), good, F.substr(w, p + F.length(bad))))
-
-    # position counts only for i and l at the start, where a capital I was lowered
-    fits = F.contains(F.col("word"), F.col("bad")) & (~F.col("bad").isin("i", "f") | (F.col("bad") == "f") | F.startswith(F.col("word"), F.col("bad")))
-    one = rare.join(F.broadcast(pairs), fits).select("word", "n", "strong", (F.col("h") + F.col("diff")).alias("h"), F.explode(replaced(F.col("word"), F.col("bad"), F.col("good"))).alias("made"))
-    first = one.join(known, "h").where(F.col("made") == F.col("true"))
-    # a second misreading only for words that hold a strong sign, or that one replacement leaves unknown and are long
-    more = one.where(F.length("word") >= 6).join(F.broadcast(pairs.select(F.col("bad").alias("bad2"), F.col("good").alias("good2"), F.col("diff").alias("diff2"), F.col("strong").alias("strong2"))), F.contains(F.col("made"), F.col("bad2")))
-    more = more.select("word", "n", (F.col("strong") | F.col("strong2")).alias("strong"), (F.col("h") + F.col("diff2")).alias("h"), F.explode(replaced(F.col("made"), F.col("bad2"), F.col("good2"))).alias("made"))
-    second = more.join(known, "h").where((F.col("made") == F.col("true")) & (F.col("made") != F.col("word")))
-    need = F.when(F.col("strong"), strong_ratio).when(F.length("word") < 4, short_ratio).otherwise(ratio)
-    found = first.select("word", "n", "strong", "true", "m", F.lit(1).alias("steps")).unionByName(second.select("word", "n", "strong", "true", "m", F.lit(2).alias("steps")))
-    found = found.where(F.col("m") >= need * F.col("n"))
-    return found.groupBy("word").agg(F.max(F.struct((-F.col("steps")).alias("s"), "m", "true"))["true"].alias("correction"))
+    known = words.where((F.col("n") >= min_true) & F.col("word").rlike(plain)).select(F.col("word").alias("true"), F.col("n").alias("m"), anagram(F.col("word")).alias("h"))
+    rare = words.where(F.col("word").rlike(r"^[\p{L}\p{M}\d]{2,}$") & ~F.col("word").rlike(r"^\d+$"))
+    # the confusions are constants in the plan, so that listing those of a word needs no join
+    table_ = F.array(*[F.struct(F.lit(a).alias("bad"), F.lit(b).alias("good"), F.lit(_power(b) - _power(a)).alias("diff"), F.lit(any(c in STRONG for c in a)).alias("strong"), F.lit(i).alias("no")) for i, (a, b) in enumerate(confusions)])
+    # position counts only for i at the start, where a capital I was lowered
+    fits = lambda w, c: F.contains(w, c["bad"]) & ((c["bad"] != "i") | F.startswith(w, c["bad"]))
+    one = rare.select("word", "n", anagram(F.col("word")).alias("h"), F.explode(F.filter(table_, lambda c: fits(F.col("word"), c))).alias("c"))
+    shifted = lambda *parts: F.pmod(sum(parts[1:], parts[0]), F.lit(MODULUS))
+    at = one.select("word", "n", "c", shifted(F.col("h"), F.col("c.diff")).alias("h")).hint("merge")
+    # equal hashes mean equal letters in some order: now the positions are looked at
+    first = at.join(known, "h").where(F.array_contains(_replaced(F.col("word"), F.col("c.bad"), F.col("c.good")), F.col("true")))
+    need = lambda strong: F.when(strong, strong_ratio).when(F.length("word") < 4, short_ratio).otherwise(ratio)
+    best = F.max(F.struct("m", "true"))["true"].alias("correction")
+    found = cut(first.where(F.col("m") >= need(F.col("c.strong")) * F.col("n")).groupBy("word").agg(best))
+    # a second misreading beside the first, in either order, or made by it
+    more = one.where(F.length("word") >= 6).join(found.hint("merge"), "word", "left_anti")
+    meets = lambda w, c, d: fits(w, d) & (d["no"] >= c["no"]) | F.contains(d["bad"], F.substr(c["good"], F.lit(1), F.lit(1))) | F.contains(d["bad"], F.substr(c["good"], F.lit(-1)))
+    two = more.select("word", "n", "h", "c", F.explode(F.filter(table_, lambda d: meets(F.col("word"), F.col("c"), d))).alias("d"))
+    two = two.select("word", "n", "c", "d", shifted(F.col("h"), F.col("c.diff"), F.col("d.diff")).alias("h")).hint("merge")
+    either = lambda c, d: F.exists(_replaced(F.col("word"), c["bad"], c["good"]), lambda w: F.array_contains(_replaced(w, d["bad"], d["good"]), F.col("true")))
+    second = two.join(known, "h").where((F.col("true") != F.col("word")) & (either(F.col("c"), F.col("d")) | either(F.col("d"), F.col("c"))))
+    second = second.where(F.col("m") >= need(F.col("c.strong") | F.col("d.strong")) * F.col("n")).groupBy("word").agg(best)
+    return found.unionByName(second)
+
+
+class _Like:
+    """Is a line like the start of a text's title (or of its authors' line)? Letters that two texts don't share bound their likeness from above, so
+    that most lines need no alignment."""
+
+    def __init__(self, title: str, least: float):
+        self.title, self.least, self.counts = title, least, {}
+
+    def __call__(self, f: str) -> bool:
+        t = self.title[: len(f)]
+        if not t or 2 * len(t) < self.least * (len(t) + len(f)):
+            return False
+        count = self.counts.setdefault(len(t), Counter(t))
+        if 2 * sum(min(n, count[c]) for c, n in Counter(f).items()) < self.least * (len(t) + len(f)):
+            return False
+        return difflib.SequenceMatcher(None, t, f, autojunk=False).ratio() >= self.least
+
+
+_AND_OTHERS = re.compile(r"(.{4,}?)\W+et\s?[a4][l1I]\W*$", re.I)
 
 
 def _headers(lines: list[str], pages: list[bool], edge: list[bool], seen: dict) -> list[bool]:
@@ -201,19 +249,18 @@ def _headers(lines: list[str], pages: list[bool], edge: list[bool], seen: dict)
     if not full:
         return out
     title = fold(lines[full[0]])
-    names = fold(lines[full[1]]) if len(full) > 1 else ""
+    like_title, like_names = _Like(title, 0.87), _Like(fold(lines[full[1]]) if len(full) > 1 else "", 0.75)
     for i in full[1:]:
-        if pages[i] or len(lines[i]) > 160:
+        if pages[i]:
             continue
         bare = NUMBERED.sub("", lines[i].strip()).strip()
         for part in re.split(r"\s*[|/]\s+", bare):
             f = fold(part.rstrip(" .…:"))
-            # away from the edges a line is only compared in full if it starts like the title
-            if len(f) >= 10 and (title.startswith(f) or (edge[i] or f[:4] == title[:4]) and difflib.SequenceMatcher(None, title[: len(f)], f, autojunk=False).ratio() >= 0.87):
+            if len(f) >= 10 and (title.startswith(f) or like_title(f)):
                 out[i] = True
-            elif (m := re.match(r"(.{4,60}?)\W+et\s?[a4][l1I]\W*$", part, re.I)) and (edge[i] or names) and difflib.SequenceMatcher(None, names[: len(fold(m[1]))], fold(m[1]), autojunk=False).ratio() >= 0.75:
+            elif "et" in part.lower() and (m := _AND_OTHERS.match(part)) and like_names(fold(m[1])):
                 out[i] = True
-        if edge[i] and not out[i] and len(key := _line_key(lines[i])) >= 8:
+        if edge[i] and not out[i] and (key := _line_key(lines[i])):
             e, a = seen.get("E\t" + key, (0, None))[0], seen.get("A\t" + key, (0, None))[0]
             out[i] = e >= 3 and e >= 0.6 * a and not re.search(r"[a-z]{3,}[.!?]$", bare)
     return out
@@ -236,12 +283,15 @@ def _word_is_cut(a: str, mark: str, b: str, seen: dict) -> bool:
 
 def _misread(word: str, seen: dict) -> str | None:
     """The corrected word, if it is one."""
-    if any(c in LIGATURES for c in word):
-        return "".join(LIGATURES.get(c, c) for c in word)
+    if not word.isascii() and not LIGATURES.keys().isdisjoint(word):
+        return word.translate(_LIGATED)
     fix = seen.get(canonical(word), (0, None))[1]
     if fix and not (len(word) > 2 and word.isupper()):
         return fix[:1].upper() + fix[1:] if word[:1].isupper() and word[:1] not in "I" or word[:1] in "4" and fix[:1] == "a" else fix
-    if re.search(r"[^\W\d_]", word) and re.search(r"[Ѐ-ӿ]", word) and re.search(r"[A-Za-z]", word):
+    # without a known variant only a word that is rare in all texts may be misread
+    if word.isascii() and word.isalpha() or seen.get(canonical(word), (0, None))[0] >= 5:
+        return None
+    if re.search(r"[Ѐ-ӿ]", word) and re.search(r"[A-Za-z]", word):
         return word.translate(str.maketrans("гаеорсух", "raeopcyx"))
     if re.fullmatch(r"\d*[lIO]\d+[lIO\d]*|\d+[lIO]+", word):
         return word.translate(str.maketrans("lIO", "110"))
@@ -329,11 +379,11 @@ def _repair(text: str, seen: dict) -> str:
 def _prepared(texts: DataFrame) -> tuple[DataFrame, list[str]]:
     keys = [c for c in texts.columns if c != "text"]
     docs = texts.where(F.col("text").isNotNull() & (F.trim("text") != "")).distinct().withColumn("uid", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in keys], "text"))
-    counted = cut(docs.select("text").mapInPandas(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    facts = counted.join(corrections(counted.where(~F.contains(F.col("word"), F.lit("\t")))), "word", "left")
-    wanted = docs.select("uid", "text").mapInPandas(_wants, "uid long, word string")
-    seen = wanted.join(facts, "word").groupBy("uid").agg(F.collect_list(F.struct("word", "n", "correction")).alias("seen"))
-    return docs.join(seen, "uid", "left"), keys
+    wanted = cut(docs.select("uid", "text").mapInPandas(_lookups, "uid long, word string, n long"))
+    counted = cut(wanted.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")))
+    facts = counted.join(corrections(counted.where(~F.contains(F.col("word"), F.lit("\t")))).hint("merge"), "word", "left")
+    seen = wanted.select("uid", "word").join(facts.hint("merge"), "word").groupBy("uid").agg(F.collect_list(F.struct("word", "n", "correction")).alias("seen"))
+    return docs.join(seen.hint("merge"), "uid", "left"), keys
 
 
 def _seen(rows: object) -> dict:

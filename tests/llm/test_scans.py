@@ -28,6 +28,14 @@ def test_corrections(spark):
     got = {r.word: r.correction for r in corrections(spark.createDataFrame(words, "word string, n long")).collect()}
     assert got == {"learrier": "learner", "1earrier": "learner", "environrnent": "environment", "rewarcl": "reward"}
     assert corrections(spark.createDataFrame([], "word string, n long")).count() == 0
+    # two misreadings, in either order or one made by the other; long words; characters of any plane
+    long = "lautverschiebungs" * 4
+    words = [("hochwasser", 90), ("hoclivvasser", 1), ("harmony", 80), ("liarrnony", 1), (long, 50), (long.replace("s", "5", 1), 1), ("環境環境", 60), ("barn", 40), ("baгn", 1), ("learnt", 0)]
+    got = {r.word: r.correction for r in corrections(spark.createDataFrame(words, "word string, n long")).collect()}
+    assert got == {"hoclivvasser": "hochwasser", "liarrnony": "harmony", long.replace("s", "5", 1): long, "baгn": "barn"}
+    # a pair of characters beyond the plane of most scripts, as a confusion of its own
+    got = corrections(spark.createDataFrame([("環境論", 60), ("環壙論", 1)], "word string, n long"), short_ratio=6.0, confusions=[("壙", "境")]).collect()
+    assert [tuple(r) for r in got] == [("環壙論", "環境論")]
 
 
 def test_injected_noise_is_found(spark):
