@@ -61,7 +61,7 @@ def reachable(size: dict[str, int], live: dict[str, tuple[float, int]], slack: f
     return low
 
 
-def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total: float | None = None, slack: float = 0.025) -> dict[tuple[str, str, str], float]:
+def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total: float | None = None, slack: float = 0.0) -> dict[tuple[str, str, str], float]:
     """Tokens for each leaf (domain, language, source) of `leaves` (with its tokens).
 
     total None: the largest total at which all sources with texts together miss at most `slack` of it, so that one tiny source can't
@@ -91,7 +91,7 @@ def budgets(leaves: list[tuple[str, str, str, int]], targets: dict[str, tuple[fl
     return {(d, l, s): leaf.budget for d, dn in root.children.items() for l, ln in dn.children.items() for s, leaf in ln.children.items() if leaf.capacity}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, slack: float = 0.025, seed: int = 17, per_bucket: int = 20_000, max_leaves: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, slack: float = 0.0, seed: int = 17, per_bucket: int = 20_000, max_leaves: int = 100_000) -> DataFrame:
     """(doc_id, source, lang, epoch, n_tokens): the documents to take, one row per use, for `docs(doc_id, source, lang, n_tokens)`
     and `targets(source, target_share, max_repeats)`.
 
@@ -100,7 +100,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, slack:
     driver (sources with targets times languages, at most `max_leaves`, else an error). An empty table gives no rows.
     """
     spark = docs.sparkSession
-    want = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(max_leaves).collect()}
+    want = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).limit(max_leaves + 1).collect()}
+    if len(want) > max_leaves:
+        raise ValueError(f"more than {max_leaves} targets")
     lang = F.coalesce(F.nullif(F.lower(F.trim("lang")), F.lit("")), F.lit("und"))
     named = F.broadcast(spark.createDataFrame([(s, DOMAINS.get(s, s)) for s in want], "source string, domain string"))
     rows = docs.where("n_tokens > 0").join(named, "source").select("doc_id", "source", lang.alias("lang"), "domain", "n_tokens")
@@ -144,7 +146,7 @@ def _counted(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) ->
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the largest mix that misses its target shares by 2.5 % of its tokens at most, for lack of texts."""
+    """The documents of the largest mix in which every source with texts reaches its target share."""
     return mix(_counted(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 

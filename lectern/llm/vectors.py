@@ -88,12 +88,13 @@ def scan(q: np.ndarray, x: np.ndarray, k: int, limit: float, eps: float = 2.1, f
     return (qs[0][keep], cs[0][keep], ds[0][keep]) if qs else (np.empty(0, int),) * 3
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float = -1.0, probes: int = 16, sample_rows: int = 20_000, max_lists: int = 4096, chunk: int = 2048) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float = -1.0, probes: int = 16, probe_share: float = 0.16, sample_rows: int = 20_000, chunk: int = 2048) -> DataFrame:
     """(key, neighbour, rank, cosine): the k most similar vectors of every vector by cosine, those of at least min_cosine only.
 
     Null, all-zero, non-finite vectors and those of another length than `dim` take no part, as queries or as answers. Rows with equal
     keys are different vectors; equal similarities rank in no particular, but in a repeatable order. Other columns are ignored.
-    There are about sqrt(n) / 2 lists, at most `max_lists`, fitted on at most `sample_rows` vectors; each query probes `probes` of them.
+    There are about sqrt(n) / 2 lists, fitted on at most `sample_rows` vectors or four for each list; each query probes `probes` of them
+    or the share `probe_share`, whichever is more, as a fixed number would find less the more lists there are.
     An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -109,13 +110,14 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
     def unit(v: pd.Series, norms: pd.Series) -> np.ndarray:
         return ((np.stack(v.to_numpy()).astype(np.float64) / norms.to_numpy()[:, None]) @ turn).astype(np.float32)
 
-    lists = int(min(max_lists, max(1, round(math.sqrt(n) / 2))))
+    lists = max(1, round(math.sqrt(n) / 2))
+    sample_rows = max(sample_rows, 4 * lists)
     share = min(1.0, 1.5 * sample_rows / n)
     picked = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(sample_rows).toPandas()
     lists = min(lists, len(picked))
     centre = centroids(unit(picked["v"], picked["norm"]), lists) if lists else np.zeros((1, dim), np.float32)
     lists = len(centre)
-    probed = min(probes, lists)
+    probed = min(max(probes, math.ceil(probe_share * lists)), lists)
 
     def place(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -126,7 +128,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
 
     # the number given to a row holds from here on, because it is written
     base = cut(rows.withColumn("n", F.monotonically_increasing_id()).mapInPandas(place, "n long, key string, u binary, list int, probes array<int>"))
-    size = {r["list"]: r["count"] for r in base.groupBy("list").count().collect()}  # at most max_lists rows
+    size = {r["list"]: r["count"] for r in base.groupBy("list").count().collect()}  # a row per list
     asked = {r["list"]: r["count"] for r in base.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
     plan = spark.createDataFrame([(i, -(-size[i] // chunk), -(-asked.get(i, 0) // (4 * chunk))) for i in size], "list int, dc int, qc int")
     salt = F.xxhash64("n", F.lit("chunk"))
