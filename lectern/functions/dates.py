@@ -16,6 +16,11 @@ def shown_date(c: Column) -> Column:
     return F.coalesce(F.date_format(parsed_date(c), "dd-MM-yyyy"), c, F.lit(""))
 
 
+def moved_date(c: Column, days: int) -> Column:
+    """The date so many days on (or back), shown as `shown_date` shows it; what is no date stays as it is."""
+    return F.coalesce(F.date_format(F.date_add(parsed_date(c), days), "dd-MM-yyyy"), c, F.lit(""))
+
+
 def list_date(c: Column) -> Column:
     """As `shown_date`, but only `yyyy-MM-dd` counts as a date."""
     return F.coalesce(F.date_format(F.try_to_timestamp(c, F.lit("yyyy-M-d")), "dd-MM-yyyy"), c)

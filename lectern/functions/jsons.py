@@ -30,6 +30,24 @@ def inverted_abstract(c: Column) -> Column:
     return F.try_variant_get(document(c), "$.abstract_inverted_index", INVERTED)
 
 
+def display_names(v: Column) -> Column:
+    """The authors' display names of a catalogue document (VARIANT), those without one left out; empty without authors."""
+    people = F.try_variant_get(v, "$.authorships", "array<struct<author:struct<display_name:string>>>")
+    names = F.filter(F.transform(people, lambda a: a["author"]["display_name"]), lambda n: n.isNotNull())
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
+def value_or(c: Column, path: str, default: Column, kind: str = "string") -> Column:
+    """The value at a path of a document, the default where there is none."""
+    return F.coalesce(F.try_variant_get(document(c), path, kind), default)
+
+
+def transposed(rows: Column) -> Column:
+    """Rows as columns, cut to the shortest row; null rows and no rows give none."""
+    width = F.array_min(F.transform(rows, F.size))
+    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform(rows, lambda r: F.get(r, i)))).otherwise(F.slice(rows, 1, 0))
+
+
 def _places(index: Column) -> Column:
     one = lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("pos"), e["key"].alias("word")))
     return F.array_sort(F.filter(F.flatten(F.transform(F.map_entries(index), lambda e: F.coalesce(one(e), F.array().cast("array<struct<pos:int,word:string>>")))), lambda s: s["pos"].isNotNull()))

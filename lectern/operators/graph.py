@@ -6,9 +6,12 @@ checkpoint folder after each round, and brings nothing but an emptiness test to
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.series import places
 from lectern.plans.runtime import cut
 
 
@@ -37,38 +40,80 @@ def neighbours(edges: DataFrame, of: DataFrame) -> DataFrame:
     return out.unionByName(of.join(edges, of.v == edges.dst).select("v", F.lit("parent").alias("direction"), F.col("src").alias("other")))
 
 
+def _walked(pairs: DataFrame, front: DataFrame, measure: str, again: bool, max_rounds: int) -> DataFrame:
+    """(v, measure): the vertices met from `front(v)` on, with the last (again) or first round in which they were.
+
+    A round writes its frontier only; what was met before isn't written again, but for a merge of every sixteen frontiers."""
+    best = F.max if again else F.min
+    met = [cut(front.select("v", F.lit(0).alias(measure)))]
+    front = met[0].select("v")
+    for step in range(1, max_rounds + 1):
+        following = front.join(pairs, front.v == pairs.src).select(F.col("dst").alias("v")).distinct()
+        if not again:
+            following = following.join(reduce(DataFrame.union, met), "v", "left_anti")
+        rows = cut(following.withColumn(measure, F.lit(step)))
+        front = rows.select("v")
+        if front.isEmpty():
+            return reduce(DataFrame.union, met).groupBy("v").agg(best(measure).alias(measure))
+        met.append(rows)
+        if len(met) > 16:
+            met = [cut(reduce(DataFrame.union, met).groupBy("v").agg(best(measure).alias(measure)))]
+    raise ValueError("the graph has a cycle" if again else f"not all is reached within {max_rounds} rounds")
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+
+
 def longest_distances(edges: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
     """(v, distance): the number of edges on the longest path from `source`, null for vertices that it doesn't reach.
 
     The graph must be acyclic: a walk of more than `max_rounds` edges is an error. Each round moves the frontier one edge on, so the last
     round in which a vertex is met is its longest distance."""
-    pairs = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(source,)], "v long")
-    seen = cut(front.withColumn("distance", F.lit(0)))
-    for step in range(1, max_rounds + 1):
-        front = cut(front.join(pairs, front.v == pairs.src).select(F.col("dst").alias("v")).distinct())
-        if front.isEmpty():
-            break
-        seen = cut(seen.join(front, "v", "left_anti").unionByName(front.withColumn("distance", F.lit(step))))
-    else:
-        raise ValueError("the graph has a cycle")
+    pairs = _pairs(edges)
+    seen = _walked(pairs, edges.sparkSession.createDataFrame([(source,)], "v long"), "distance", True, max_rounds)
     return vertices(pairs).join(seen, "v", "left")
 
 
+def topological(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(v, level, place): an order of all vertices in which every edge leads on: by level, which is the longest distance from any root,
+    then by vertex; places count from 1. Cycles are an error."""
+    pairs = _pairs(edges)
+    level = _walked(pairs, roots(pairs), "level", True, max_rounds)
+    every = vertices(pairs).join(level, "v", "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+    if not every.where("level < 0").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return places(every, F.col("level").asc(), F.col("v").asc())
+
+
 def longest_path(edges: DataFrame, source: int, order: str) -> DataFrame:
     """(pos, v): the longest path from `source`, walked back from the farthest vertex (the smallest of several) to the parent whose
-    distance is largest, the first by `order` on ties. One short lookup join per vertex of the path."""
+    distance is largest, the first by `order` on ties. Every vertex points to that parent, and the pointers are doubled, so a path
+    of n vertices takes log n joins."""
     far = cut(longest_distances(edges, source).where("distance is not null"))
-    end = far.orderBy(F.col("distance").desc(), "v").limit(1).collect()
-    if not end:
-        return edges.sparkSession.createDataFrame([], "pos int, v long")
-    v, steps, path = end[0].v, end[0].distance, [end[0].v]
-    for d in range(steps - 1, -1, -1):
-        best = edges.where(F.col("dst") == v).join(far.where(F.col("distance") == d), edges.src == far.v).orderBy(order, "src").limit(1).select("src").collect()
-        v = best[0].src
-        path.append(v)
-    return edges.sparkSession.createDataFrame(list(enumerate(reversed(path))), "pos int, v long")
+    end = far.orderBy(F.col("distance").desc(), "v").limit(1)
+    a, b = far.select(F.col("v").alias("src"), F.col("distance").alias("d")), far.select(F.col("v").alias("dst"), F.col("distance").alias("e"))
+    back = edges.select("src", "dst", F.col(order).alias("_o")).join(a, "src").join(b, "dst").where("d = e - 1")
+    jump = cut(back.groupBy("dst").agg(F.min_by("src", F.struct("_o", "src")).alias("to")).select(F.col("dst").alias("v"), "to"))
+    path = cut(end.select("v"))
+    steps = far.agg(F.max("distance")).first()[0] or 0
+    for _ in range(int(steps).bit_length()):
+        path = cut(path.union(path.join(jump, "v").select(F.col("to").alias("v"))).distinct())
+        jump = cut(jump.join(jump.select(F.col("v").alias("to"), F.col("to").alias("beyond")), "to").select("v", F.col("beyond").alias("to")))
+    return path.join(far, "v").select(F.col("distance").alias("pos"), "v")
+
+
+def main_chain(edges: DataFrame, kinds: DataFrame, shown: list[str], order: str = "src") -> tuple[DataFrame, DataFrame]:
+    """((pos, v), (dst, src)) of the diagram that `kinds(v, kind)` shows: the edges contracted to the vertices of the kinds `shown`, the longest
+    path from the root (the smallest of several) on, and for every vertex of it the one from which a skip edge leads there."""
+    kept = cut(contract(edges, kinds.where(F.col("kind").isin(*shown)).select("v")))
+    first = roots(kept).agg(F.min("v").alias("v")).first().v
+    if first is None:
+        none = edges.sparkSession
+        return none.createDataFrame([], "pos int, v long"), none.createDataFrame([], "dst long, src long")
+    path = cut(longest_path(kept, first, order))
+    skips = skip_edges(kept, path).groupBy("dst").agg(F.max("src").alias("src"))
+    return path, skips
 
 
 def skip_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
@@ -79,16 +124,9 @@ def skip_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
 
 
 def reached(edges: DataFrame, source: int, max_rounds: int = 10_000) -> DataFrame:
-    """(v, depth): every vertex that `source` reaches, with the length of the shortest way. Cycles are allowed."""
-    pairs = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    front = edges.sparkSession.createDataFrame([(source,)], "v long")
-    seen = front.withColumn("depth", F.lit(0))
-    for step in range(1, max_rounds):
-        front = cut(front.join(pairs, front.v == pairs.src).select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front.withColumn("depth", F.lit(step))))
-    return seen
+    """(v, depth): every vertex that `source` reaches, with the length of the shortest way. Cycles are allowed; ways of more than
+    `max_rounds` edges are an error."""
+    return _walked(_pairs(edges), edges.sparkSession.createDataFrame([(source,)], "v long"), "depth", False, max_rounds)
 
 
 def depth_first(edges: DataFrame, component: str, order: str) -> DataFrame:
@@ -116,16 +154,19 @@ def depth_first(edges: DataFrame, component: str, order: str) -> DataFrame:
 
 
 def contract(edges: DataFrame, visible: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(src, dst): the edges between visible vertices, directly or over hidden ones only."""
+    """(src, dst): the edges between visible vertices, directly or over hidden ones only; chains of more than `max_rounds` hidden ones are
+    an error."""
     pairs = cut(edges.select("src", "dst").distinct())
     shown = visible.select("v").distinct()
     ways = cut(pairs.join(shown.withColumnRenamed("v", "src"), "src", "left_semi"))
-    done = None
+    past, done = ways, None
     for _ in range(max_rounds):
         ready = ways.join(shown.withColumnRenamed("v", "dst"), "dst", "left_semi").select("src", "dst")
         done = cut(ready if done is None else done.unionByName(ready).distinct())
         through = ways.join(shown.withColumnRenamed("v", "dst"), "dst", "left_anti").select(F.col("src").alias("s"), F.col("dst").alias("mid"))
-        ways = cut(through.join(pairs, through.mid == pairs.src).select(F.col("s").alias("src"), "dst").distinct())
+        further = through.join(pairs, through.mid == pairs.src).select(F.col("s").alias("src"), "dst").distinct()
+        ways = cut(further.join(past, ["src", "dst"], "left_anti"))
+        past = cut(past.unionByName(ways))
         if ways.isEmpty():
-            break
-    return done.where("src <> dst")
+            return done.where("src <> dst")
+    raise ValueError(f"hidden vertices in a cycle or a chain of more than {max_rounds}")

@@ -69,3 +69,22 @@ def path_blocks(layers: DataFrame, group: str, order: str, skips: DataFrame | No
     ends = out.select(group, F.col("block_no").alias("to"), F.col("first").alias("f"), F.col("last").alias("l"))
     led = skips.join(ends, group).where("dst between f and l").select(group, "src", "to")
     return out.join(led.withColumnRenamed(group, "_g"), (F.col(group) == F.col("_g")) & F.col("src").between(F.col("first"), F.col("last")), "left").groupBy(group, "block_no", "block", "number", "first", "last").agg(F.min("to").alias("skip_to"))
+
+
+def chain_nodes(path: DataFrame, nodes: DataFrame, skips: DataFrame) -> DataFrame:
+    """(pos, v, type, channels, height, width, skip_from): the vertices of a path `(pos, v)` with what `nodes(v, label)` says of each and, for
+    `skips(dst, src)`, the position from which a skip edge leads there. ReLU and unknown layers have no sizes and no skips."""
+    sized = ["Conv2d", "MaxPool2d", "ConvTranspose2d", "Flatten", "Linear", "add_"]
+    said = path.join(nodes.select("v", node_info(F.col("label")).alias("i")), "v", "left").select("pos", "v", "i.*")
+    led = skips.join(path.select(F.col("v").alias("src"), F.col("pos").alias("skip_from")), "src").select(F.col("dst").alias("v"), "skip_from")
+    has = F.col("type").isin(*sized)
+    return said.join(led, "v", "left").select("pos", "v", "type", *[F.when(has, F.col(c)).alias(c) for c in ("channels", "height", "width", "skip_from")])
+
+
+def document(blocks_: DataFrame, group: str) -> DataFrame:
+    """(group, document): one line per block of `path_blocks`, in order: name and number, the layers it covers, the block a skip leads to."""
+    name = F.concat(F.col("block"), F.lit("_"), F.col("number").cast("string"))
+    skip = F.when(F.col("skip_to").isNotNull(), F.concat(F.lit(" -> "), F.col("skip_to").cast("string"))).otherwise("")
+    line = F.concat(name, F.lit(" ["), F.col("first").cast("string"), F.lit(".."), F.col("last").cast("string"), F.lit("]"), skip)
+    lines = blocks_.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("block_no", line.alias("l")))).alias("x"))
+    return lines.select(group, F.array_join(F.transform("x", lambda s: s["l"]), "\n").alias("document"))

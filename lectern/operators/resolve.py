@@ -26,11 +26,12 @@ def _value(source: str, field: str) -> Column:
 
 def parsed(bundles: DataFrame) -> DataFrame:
     """With the metadata parsed once and, for each field, the best value and its source; unreadable metadata count as empty."""
-    out = bundles.select("id", "work_id", *[document(F.col(c)).alias(f"_{s}") for s, c in SOURCES.items()])
+    out = bundles.select("id", "work_id", *[document(F.col(c)).alias(f"_{s}") for s, c in SOURCES.items()], *[F.col(c).alias(f"_{s}_text") for s, c in SOURCES.items()])
     for field, order in PRIORITY.items():
         best = F.coalesce(*[F.when(_value(s, field).isNotNull(), F.struct(_value(s, field).alias("value"), F.lit(s).alias("source"))) for s in order])
         out = out.withColumn(field, best)
-    return out.withColumn("catalogue", _value("openalex", "id"))
+    raw = [F.when(~F.try_variant_get(F.col(f"_{s}"), "$", "string").isin("", "0", "[]", "{}", "false"), F.col(f"_{s}_text")).alias(c) for s, c in SOURCES.items()]
+    return out.withColumn("catalogue", _value("openalex", "id")).select("*", *raw)
 
 
 def identity(bundles: DataFrame) -> DataFrame:
@@ -40,7 +41,8 @@ def identity(bundles: DataFrame) -> DataFrame:
 
 
 def merge(bundles: DataFrame) -> DataFrame:
-    """One record per identity: of each field the first bundle's value (by id) that isn't missing, and where it came from.
+    """One record per identity: of each field and of each source's metadata the first bundle's value (by id) that isn't missing, and where
+    the fields came from.
 
     One shuffle by identity. The DOI that a bundle without any other identifier lends its work_id may come from an earlier bundle,
     therefore the running DOI. Fields are picked by minimum, not by collecting: only the ids and distinct DOIs of a group become lists,
@@ -56,13 +58,13 @@ def merge(bundles: DataFrame) -> DataFrame:
     own = F.min(F.when(named.isNotNull(), F.struct("id", named.alias("v"))))
     made = rows.groupBy("key_type", "key_value").agg(
         F.when(own.isNull() | (fallback["id"] < own["id"]), fallback["v"]).otherwise(own["v"]).alias("work_id"),
-        *[first(F.col(f)).alias(f) for f in PRIORITY],
+        *[first(F.col(f)).alias(f) for f in [*PRIORITY, *SOURCES.values()]],
         F.array_sort(F.collect_set("doi.value")).alias("alternate_dois"),
         F.array_sort(F.collect_list("id")).alias("source_bundle_ids"),
     )
     sure = lambda f: F.col(f).isNotNull() if f == "work_id" else F.col(f"{f}.value").isNotNull()
     score = sum((F.when(sure(f), w).otherwise(0.0) for f, w in WEIGHTS), F.lit(0.0))
-    return made.select("key_type", "key_value", "work_id", *[F.col(f"{f}.value").alias(f) for f in PRIORITY], *[F.col(f"{f}.source").alias(f"{f}_source") for f in PRIORITY], "alternate_dois", "source_bundle_ids", score.alias("confidence"))
+    return made.select("key_type", "key_value", "work_id", *[F.col(f"{f}.value").alias(f) for f in PRIORITY], *[F.col(f"{f}.source").alias(f"{f}_source") for f in PRIORITY], "alternate_dois", "source_bundle_ids", score.alias("confidence"), *SOURCES.values())
 
 
 def attach_hits(bundles: DataFrame, hits: DataFrame, key: str) -> DataFrame:

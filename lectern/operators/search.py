@@ -1,6 +1,6 @@
 """Full-text search: index, BM25 ranking, concept filter and boost, dense re-ranking.
 
-The index is three tables: postings(term, doc_id, tf), terms(term, df), docs(doc_id, dl), plus one row of corpus statistics. All come from
+The index is three tables: postings(term, doc_id, tf), terms(term, df), docs(doc_id, dl), plus one row of corpus statistics and the words. All come from
 one tokenised scan with map-side partial aggregation. A query is a handful of terms, so its side of the joins is broadcast: its size
 is bounded by the query's length, never by the corpus. Top-k is an ordered take, not a global sort.
 """
@@ -23,6 +23,7 @@ class Index:
     terms: DataFrame
     docs: DataFrame
     stats: DataFrame
+    words: DataFrame
 
 
 def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -34,9 +35,10 @@ def build_index(docs: DataFrame, key: str, text: Column, synonyms: bool = False)
     """Documents with null or blank text are not indexed and don't count in the statistics."""
     said = with_synonyms(text) if synonyms else text
     rows = docs.select(F.col(key).alias("doc_id"), tokens(said).alias("tokens"), text.alias("_t")).where(F.length(F.regexp_replace("_t", r"(?U)\s+", "")) > 0)
-    post = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    words = rows.select("doc_id", F.explode("tokens").alias("term"))
+    post = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     length = rows.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-    return Index(post, post.groupBy("term").agg(F.count("*").alias("df")), length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(post, post.groupBy("term").agg(F.count("*").alias("df")), length, length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), words)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -58,9 +60,9 @@ def bm25(index: Index, query: str, synonyms: bool = False, k1: float = K1, b: fl
     """(doc_id, score, first): the score of every document that holds a query term; a term counts as often as the query has it.
     first is the position of the first such term. A query without terms gives no rows."""
     q = F.broadcast(query_terms(index.postings.sparkSession, query, synonyms))
-    hit = index.postings.join(q, "term")
-    # of the term table only the query's rows are left, so that it may be broadcast
-    df = F.broadcast(index.terms.join(q, "term", "left_semi"))
+    # words are filtered by the query's terms before anything is shuffled; of the terms as many rows are left as the query has
+    hit = index.words.join(q, "term").groupBy("doc_id", "term", "times", "qpos").agg(F.count("*").alias("tf"))
+    df = F.broadcast(hit.groupBy("term").agg(F.count("*").alias("df")))
     scored = hit.join(df, "term").join(index.docs, "doc_id").join(F.broadcast(index.stats), how="cross")
     part = F.col("times") * idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return scored.groupBy("doc_id").agg(F.sum(part).alias("score"), F.min("qpos").alias("first"))

@@ -30,10 +30,10 @@ def moving_average(df: DataFrame, group: str, order: str, value: str, width: int
 
 def display_sizes(df: DataFrame, value: str, low: int, high: int, into: str = "shown") -> DataFrame:
     """(value, shown): the distinct values in order, spread evenly over low..high and rounded up; a single value is shown as low."""
-    d = df.select(value).where(F.col(value).isNotNull()).distinct()
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(value))
-    return d.withColumn(into, F.when(n == 1, low).otherwise(F.ceil(F.round(low + (rank - 1) * (high - low) / (n - 1), 9))).cast("int"))
+    d = places(df.select(value).where(F.col(value).isNotNull()).distinct(), F.col(value).asc())
+    n, rank = F.col("_count"), F.col("place")
+    sized = d.join(F.broadcast(d.agg(F.count("*").alias("_count"))), how="cross")  # one row
+    return sized.select(value, F.when(n == 1, low).otherwise(F.ceil(F.round(low + (rank - 1) * (high - low) / (n - 1), 9))).cast("int").alias(into))
 
 
 def span_groups(spans: Column) -> Column:

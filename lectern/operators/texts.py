@@ -9,6 +9,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import collapsed_code
+
 
 def quality(text: Column) -> Column:
     """0.4 * share of letters + 0.2 * (1 - share of lines that end in a hyphen) + 0.2 each for the words abstract and introduction;
@@ -69,3 +71,18 @@ def predict_classes(model: PipelineModel, docs: DataFrame, text: str, key: str)
     rows = docs.withColumn(text, F.coalesce(text, F.lit("")))
     out = model.transform(rows)
     return out.select(key, F.get(F.array(*map(F.lit, [*names, None])), F.col("prediction").cast("int")).alias("predicted"))
+
+
+def save_classes(model: PipelineModel, path: str) -> None:
+    """Keep a fitted classifier at a path that the cluster shares, over an older one."""
+    model.write().overwrite().save(path)
+
+
+def load_classes(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def dataset(codes: DataFrame, texts: DataFrame, key: str, code: str, text: str, depth: int = 4) -> DataFrame:
+    """(key, text, label): the texts of all labelled files with their codes cut to `depth` parts; a file without a text has an empty one."""
+    label = collapsed_code(F.col(code), depth).alias("label")
+    return codes.join(texts.select(key, text), key, "left").select(key, F.coalesce(text, F.lit("")).alias("text"), label)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, jsons, text
-from lectern.operators import graph, hierarchy, resolve, search, series, texts
+from lectern.operators import embed, graph, hierarchy, layers, papers, records, resolve, search, series, texts
 from lectern.operators.nested import p7_authors, p7_found, p7_institutions
 from lectern.plans.runtime import table
-from lectern.sources import sinks
+from lectern.sources import engines, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_authors, p7_institutions)}
 SQL: dict[str, str] = {}
@@ -65,7 +65,21 @@ def bm25_topk(spark, d):
     return search.top(search.bm25(index, WORDS), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _synonym_sql(c: str) -> str:
+    out = f"lower({c})"
+    for term, variants in text.SYNONYMS.items():
+        for v in variants:
+            # this engine's word boundary knows ASCII only, so the boundary's characters are matched; twice, as neighbours may share one
+            edge, word = "[^\\p{L}\\p{M}\\p{N}_]", v.replace("-", "[-]")
+            for _ in range(2):
+                out = f"regexp_replace({out}, '(^|{edge}){word}($|{edge})', '\\1{term}\\2', 'g')"
+    return out
+
+
+_SAME = f"SELECT id AS doc_id, {_synonym_sql('title')} AS t FROM normalized_works WHERE length(regexp_replace(title, '\\s', '', 'g')) > 0"
+
+
+@query("WITH " + _bm25_sql(_SAME, "reinforcement learning in a gridworld".split(), 20) + " SELECT doc_id AS id, round(score, 6) AS score FROM hits")
 def bm25_synonyms(spark, d):
     """Titles of works, with the spellings of grid world and reinforcement learning made one on both sides."""
     works = table(spark, d, "normalized_works")
@@ -124,6 +138,9 @@ def hybrid_rerank(spark, d):
 
 # ---------------------------------------------------------------- identifiers and texts
 
+_DOC = "CASE WHEN json_type(TRY_CAST({0} AS JSON)) = 'VARCHAR' THEN TRY_CAST((TRY_CAST({0} AS JSON)->>'$') AS JSON) ELSE TRY_CAST({0} AS JSON) END"
+_OPENALEX = f"(SELECT id, {_DOC.format('openalex_metadata')} AS m FROM raw_bundles)"
+
 DOI = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(doi, '^\\s+|\\s+$', '', 'g'), '^https?://(dx\\.)?doi\\.org/', '', 'i'), '^doi:\\s*', '', 'i'), '^doi\\s+', '', 'i'))"
 
 
@@ -150,18 +167,7 @@ def work_identifiers(spark, d):
     return table(spark, d, "experience_records").select("paper_id", text.plain(t).alias("title_key"), text.author_key(a).alias("authors_key"), text.internal_doi(t, a, y).alias("internal_doi"), text.synthetic_id(t, a, y).alias("synthetic_id"))
 
 
-def _synonym_sql(c: str) -> str:
-    out = f"lower({c})"
-    for term, variants in text.SYNONYMS.items():
-        for v in variants:
-            out = f"regexp_replace({out}, '\\b{v.replace('-', '[-]')}\\b', '{term}', 'g')"
-    return out
-
 
-@query(f"SELECT id, {_synonym_sql('title')} AS title FROM normalized_works WHERE NOT regexp_matches(title, '[^\\x00-\\x7f]')")
-def synonym_titles(spark, d):
-    """Titles in ASCII only: word boundaries beside other letters differ between regular expression engines."""
-    return table(spark, d, "normalized_works").where(~F.col("title").rlike(r"[^\x00-\x7f]")).select("id", text.with_synonyms(F.col("title")).alias("title"))
 
 
 @query("""SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_') AS snake, trim(regexp_replace(title, '[\\\\/*?:"<>|]', '', 'g')) AS note,
@@ -179,14 +185,10 @@ def keyword_terms(spark, d):
     return table(spark, d, "experience_records").where("tags is not null").select("paper_id", F.posexplode(text.keyword_terms(said)).alias("pos", "term"))
 
 
-@query("""SELECT id, string_agg(word, ' ' ORDER BY pos, word) AS abstract FROM (SELECT id, e.key AS word, unnest(e.value) AS pos FROM (
-   SELECT id, unnest(map_entries(TRY_CAST(json_extract(m, '$.abstract_inverted_index') AS MAP(VARCHAR, INTEGER[])))) AS e FROM (SELECT id, TRY_CAST(openalex_metadata AS JSON) AS m FROM raw_bundles) WHERE json_type(m) = 'OBJECT')) WHERE pos IS NOT NULL GROUP BY id""")
-def abstracts(spark, d):
-    rows = table(spark, d, "raw_bundles").where(~F.col("openalex_metadata").startswith('"')).select("id", jsons.abstract_text(jsons.inverted_abstract(F.col("openalex_metadata"))).alias("abstract"))
-    return rows.where("abstract is not null")
-
 
-@query()
+@query(f"""WITH e AS (SELECT id, map_entries(TRY_CAST(json_extract(m, '$.abstract_inverted_index') AS MAP(VARCHAR, INTEGER[]))) AS l FROM {_OPENALEX} WHERE json_type(m) = 'OBJECT'),
+   w AS (SELECT id, no, l[no].key AS word, unnest(l[no].value) AS pos FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS no FROM e)), o AS (SELECT id, pos, arg_max(word, no) AS word FROM w WHERE pos IS NOT NULL GROUP BY id, pos)
+   SELECT id, coalesce(string_agg(word, ' ' ORDER BY pos), '') AS abstract FROM raw_bundles LEFT JOIN o USING (id) GROUP BY id""")
 def abstracts_single(spark, d):
     """One word per position, the last one of the index."""
     return table(spark, d, "raw_bundles").select("id", jsons.abstract_text_single(jsons.inverted_abstract(F.col("openalex_metadata"))).alias("abstract"))
@@ -199,12 +201,6 @@ def first_json_objects(spark, d):
     return table(spark, d, "raw_bundles").select("id", jsons.first_object(said).alias("object"))
 
 
-@query("""SELECT id, coalesce(nullif(m->>'$.primary_location.pdf_url', ''), list_filter(list_transform(CASE WHEN json_type(m, '$.locations') = 'ARRAY' THEN json_extract(m, '$.locations')::JSON[] END, lambda x: x->>'$.pdf_url'), lambda u: u <> '')[1]) AS url
-   FROM (SELECT id, TRY_CAST(openalex_metadata AS JSON) AS m FROM raw_bundles) WHERE json_type(m) = 'OBJECT'""")
-def pdf_urls(spark, d):
-    rows = table(spark, d, "raw_bundles").where(F.col("openalex_metadata").startswith("{") & F.try_parse_json("openalex_metadata").isNotNull())
-    return rows.select("id", jsons.pdf_url(F.col("openalex_metadata")).alias("url"))
-
 
 @query("""SELECT paper_id, CASE WHEN extracted_text IS NULL OR extracted_text = '' THEN 0 ELSE round(0.4 * length(regexp_replace(extracted_text, '[^\\p{L}]', '', 'g')) / length(extracted_text)
    + 0.2 * (1 - len(list_filter(l, lambda x: x[-1] = '-')) / len(l)) + CASE WHEN regexp_matches(extracted_text, '(?i)(^|[^\\p{L}\\p{N}_])abstract($|[^\\p{L}\\p{N}_])') THEN 0.2 ELSE 0 END
@@ -237,7 +233,6 @@ def _truthy(c: str, p: str) -> str:
     return f"CASE WHEN {v} NOT IN ('', '0', '[]', '{{}}', 'false') THEN {v} END"
 
 
-_DOC = "CASE WHEN json_type(TRY_CAST({0} AS JSON)) = 'VARCHAR' THEN TRY_CAST((TRY_CAST({0} AS JSON)->>'$') AS JSON) ELSE TRY_CAST({0} AS JSON) END"
 _PARSED = f"""p AS (SELECT id, work_id, {_truthy('p', 'doi')} AS pd, {_truthy('c', 'doi')} AS cd, {_truthy('o', 'doi')} AS od, {_truthy('p', 'title')} AS pt, {_truthy('c', 'title')} AS ct, {_truthy('o', 'title')} AS ot,
    {_truthy('p', 'year')} AS py, {_truthy('c', 'year')} AS cy, {_truthy('o', 'year')} AS oy, {_truthy('p', 'authors')} AS pa, {_truthy('c', 'authors')} AS ca, {_truthy('o', 'authors')} AS oa, {_truthy('o', 'id')} AS oid
    FROM (SELECT id, work_id, {_DOC.format('pdf_metadata')} AS p, {_DOC.format('crossref_metadata')} AS c, {_DOC.format('openalex_metadata')} AS o FROM raw_bundles)),
@@ -250,27 +245,25 @@ _KEYS = "CASE WHEN oid IS NOT NULL THEN 'work_id' WHEN doi IS NOT NULL THEN 'doi
 
 # ---------------------------------------------------------------- metadata inside a JSON string, titles in any script
 
-_OPENALEX = f"(SELECT id, {_DOC.format('openalex_metadata')} AS m FROM raw_bundles)"
 
 
 @query(f"""SELECT id, string_agg(word, ' ' ORDER BY pos, word) AS abstract FROM (SELECT id, e.key AS word, unnest(e.value) AS pos FROM (
    SELECT id, unnest(map_entries(TRY_CAST(json_extract(m, '$.abstract_inverted_index') AS MAP(VARCHAR, INTEGER[])))) AS e FROM {_OPENALEX} WHERE json_type(m) = 'OBJECT')) WHERE pos IS NOT NULL GROUP BY id""")
-def abstracts_decoded(spark, d):
-    """As `abstracts`, also of the documents inside a JSON string, which its SQL doesn't read."""
+def abstracts(spark, d):
     rows = table(spark, d, "raw_bundles").select("id", jsons.abstract_text(jsons.inverted_abstract(F.col("openalex_metadata"))).alias("abstract"))
     return rows.where("abstract is not null")
 
 
 @query(f"""SELECT id, coalesce(nullif(m->>'$.primary_location.pdf_url', ''), list_filter(list_transform(CASE WHEN json_type(m, '$.locations') = 'ARRAY' THEN json_extract(m, '$.locations')::JSON[] END, lambda x: x->>'$.pdf_url'), lambda u: u <> '')[1]) AS url
    FROM {_OPENALEX}""")
-def pdf_urls_decoded(spark, d):
-    """As `pdf_urls`, with every bundle; what isn't readable has no address."""
+def pdf_urls(spark, d):
+    """Of every bundle; what isn't readable has no address."""
     return table(spark, d, "raw_bundles").select("id", jsons.pdf_url(F.col("openalex_metadata")).alias("url"))
 
 
-@query()
-def synonym_titles_all(spark, d):
-    """As `synonym_titles`, with titles in any script and those that are null."""
+@query(f"SELECT id, {_synonym_sql('title')} AS title FROM normalized_works")
+def synonym_titles(spark, d):
+    """Titles in any script and those that are null."""
     return table(spark, d, "normalized_works").select("id", text.with_synonyms(F.col("title")).alias("title"))
 
 
@@ -319,9 +312,7 @@ def bundle_hits(spark, d):
 
 @query("""SELECT pos::INT AS pos, paper_id, strategy FROM (SELECT row_number() OVER (ORDER BY paper_id DESC) - 1 AS pos, paper_id FROM experience_records) JOIN (SELECT paper_id, arg_max(coalesce(strategy, ''), coalesce(quality_score, -1)) AS strategy FROM pdf_resolutions WHERE extracted_text IS NOT NULL GROUP BY paper_id) USING (paper_id)""")
 def ordered_lookup(spark, d):
-    from pyspark.sql import Window
-
-    ids = table(spark, d, "experience_records").select((F.row_number().over(Window.orderBy(F.desc("paper_id"))) - 1).alias("pos"), "paper_id")
+    ids = series.places(table(spark, d, "experience_records").select("paper_id"), F.desc("paper_id")).select((F.col("place") - 1).cast("int").alias("pos"), "paper_id")
     rows = table(spark, d, "pdf_resolutions").where("extracted_text is not null").select("paper_id", F.coalesce("strategy", F.lit("")).alias("strategy"), F.coalesce("quality_score", F.lit(-1.0)).alias("q"))
     return search.lookup(ids, rows, "paper_id", "pos", "q").select("pos", "paper_id", "strategy")
 
@@ -371,14 +362,21 @@ def folder_items(spark, d):
     return out.select("collection_key", F.size("items").alias("items"), F.coalesce(F.get("items", F.lit(0)), F.lit(-1)).alias("first_item"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT c.collectionid AS k, CASE WHEN c.parentcollectionid <> 0 AND c.parentcollectionid <> c.collectionid THEN q.collectionid END AS p, CASE WHEN c.collectionname <> '' AND c.collectionname <> 'papers' THEN split_part(c.collectionname, ' ', 1) END AS num,
+   CASE WHEN instr(c.collectionname, ' ') > 0 THEN substring(c.collectionname, instr(c.collectionname, ' ') + 1) ELSE '' END AS descr FROM collections c LEFT JOIN collections q ON q.collectionid = c.parentcollectionid),
+   t AS (SELECT k, [k] AS path, num, descr, CASE WHEN num IS NOT NULL THEN {_COMPACT.format('num')} END AS code FROM n WHERE p IS NULL
+   UNION ALL SELECT n.k, list_append(t.path, n.k), n.num, n.descr, CASE WHEN n.num IS NULL THEN t.code WHEN t.code IS NULL THEN {_COMPACT.format('n.num')} ELSE {_COMPACT.format('(' + _CHILD + ')')} END FROM t JOIN n ON n.p = t.k)
+   SELECT '| Code | Description |' || chr(10) || '|------|-------------|' || chr(10) || string_agg('| ' || code || ' | ' || descr || ' |', chr(10) ORDER BY path) AS markdown FROM t WHERE num IS NOT NULL""")
 def folder_table(spark, d):
     """The folders' codes as a Markdown table."""
     rows = hierarchy.codes(table(spark, d, "collections"), "collectionid", "parentcollectionid", "collectionname")
     return sinks.markdown_table(rows, "path", "code", "description", ("Code", "Description"))
 
 
-@query()
+@query("""SELECT paper_id, substring(replace(regexp_replace(coalesce(title, paper_id), '[\\\\/*?:"<>|]', '', 'g'), ' ', '_'), 1, 150) AS file, '---' || chr(10) || 'title: "' || shown || '"' || chr(10)
+   || CASE WHEN len(authors) > 0 THEN 'authors:' || chr(10) || array_to_string(list_transform(authors, lambda x: '  - ' || x), chr(10)) || chr(10) ELSE 'authors: []' || chr(10) END || 'year: ' || coalesce(year::VARCHAR, '') || chr(10) || 'venue: ' || coalesce(venue, '') || chr(10)
+   || CASE WHEN len(tags) > 0 THEN 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda x: '  - ' || x), chr(10)) || chr(10) ELSE 'tags: []' || chr(10) END || '---' || chr(10) || chr(10) || '# ' || shown || chr(10)
+   || CASE WHEN abstract <> '' THEN chr(10) || '## Abstract' || chr(10) || chr(10) || abstract || chr(10) ELSE '' END || CASE WHEN llm_summary <> '' THEN chr(10) || '## Summary' || chr(10) || chr(10) || llm_summary || chr(10) ELSE '' END AS note FROM (SELECT *, coalesce(nullif(title, ''), 'Untitled') AS shown FROM experience_records)""")
 def paper_notes(spark, d):
     """A Markdown note for every paper."""
     c = F.col
@@ -424,18 +422,23 @@ def graph_contracted(spark, d):
     return graph.contract(e, graph.vertices(e).where("v % 3 <> 1"))
 
 
-@query()
+_MAIN = f"""e AS ({EDGES}), t AS (SELECT 1::BIGINT AS v, 0 AS n UNION SELECT e.dst, t.n + 1 FROM t JOIN e ON e.src = t.v), l AS (SELECT v, max(n) AS n FROM t GROUP BY v),
+   b AS (SELECT e.dst AS v, min(e.src) AS up FROM e JOIN l x ON x.v = e.src JOIN l y ON y.v = e.dst WHERE x.n = y.n - 1 GROUP BY e.dst),
+   m AS (SELECT n AS pos, v FROM (SELECT * FROM l ORDER BY n DESC, v LIMIT 1) UNION ALL SELECT m.pos - 1, b.up FROM m JOIN b USING (v) WHERE m.pos > 0)"""
+
+
+@query(f"WITH RECURSIVE {_MAIN} SELECT pos::INT AS pos, v FROM m")
 def graph_main_path(spark, d):
     return graph.longest_path(_edges(spark, d), 1, "src")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MAIN}, c AS (SELECT src FROM e GROUP BY src HAVING count(DISTINCT dst) > 1) SELECT DISTINCT e.src, e.dst FROM e JOIN m a ON a.v = e.src JOIN m z ON z.v = e.dst JOIN c ON c.src = e.src WHERE z.pos <> a.pos + 1")
 def graph_skips(spark, d):
     e = _edges(spark, d)
     return graph.skip_edges(e, graph.longest_path(e, 1, "src"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_TREE} SELECT root, (row_number() OVER (PARTITION BY root ORDER BY path) - 1)::INT AS pos, k AS v FROM t WHERE root IN (SELECT root FROM t WHERE depth > 0)")
 def graph_walk(spark, d):
     """Folders in depth-first order, one walk per root."""
     t = hierarchy.walk(table(spark, d, "collections"), "collectionid", "parentcollectionid", "collectionname")
@@ -495,17 +498,216 @@ def dates_in_formats(spark, d):
     return _written(spark, d).select("o_orderkey", "written", dates.parsed_date(F.col("written")).alias("parsed"), dates.shown_date(F.col("written")).alias("shown"))
 
 
-@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN written = 'n.d.' THEN NULL ELSE o_orderdate::DATE END ASC NULLS FIRST, o_orderkey)::INT AS place FROM (SELECT o_orderkey, o_orderdate, {WRITTEN} AS written FROM orders) ORDER BY place LIMIT 1000")
-def typed_sort(spark, d):
-    """The first thousand of a list sorted by dates written in several formats, unreadable ones first."""
-    rows = _written(spark, d).orderBy(dates.parsed_date(F.col("written")).asc_nulls_first(), "o_orderkey").limit(1000)
-    from pyspark.sql import Window
-
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy(dates.parsed_date(F.col("written")).asc_nulls_first(), "o_orderkey")).alias("place"))
-
 
 @query(f"SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN written = 'n.d.' THEN NULL ELSE o_orderdate::DATE END ASC NULLS FIRST, o_orderkey)::BIGINT AS place FROM (SELECT o_orderkey, o_orderdate, {WRITTEN} AS written FROM orders)")
 def typed_order(spark, d):
-    """The place of every row in the order of `typed_sort`, whose SQL keeps the first thousand only."""
+    """The place of every row in a list sorted by dates written in several formats, unreadable ones first."""
     rows = _written(spark, d).withColumn("date", dates.parsed_date(F.col("written")))
     return series.places(rows, F.col("date").asc_nulls_first(), F.col("o_orderkey").asc()).select("o_orderkey", "place")
+
+
+# ---------------------------------------------------------------- records and lists
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS o_orderdate FROM orders WHERE o_orderkey = 7")
+def one_record(spark, d):
+    return records.record(table(spark, d, "orders"), "o_orderkey", 7).select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"))
+
+
+@query("SELECT doc_id, paper_id FROM documents WHERE paper_id IS DISTINCT FROM (SELECT min(paper_id) FROM documents)")
+def records_left(spark, d):
+    """All documents but those of the first paper; those of no paper stay."""
+    docs = table(spark, d, "documents").select("doc_id", "paper_id")
+    return records.delete(docs, "paper_id", docs.agg(F.min("paper_id")).first()[0])
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%d-%m-%Y') ELSE written END AS written, o_orderstatus FROM (SELECT *, {WRITTEN} AS written FROM orders)")
+def order_list(spark, d):
+    """The orders by key, dates written year first shown day first."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(_written(spark, d), "o_orderkey")
+    return records.list_view(rows, "o_orderkey", "written", ["written", "o_orderstatus"])
+
+
+@query(f"SELECT o_orderkey, CASE WHEN written = 'n.d.' THEN written ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%d-%m-%Y') END AS next_day, CASE WHEN written = 'n.d.' THEN written ELSE strftime(o_orderdate - INTERVAL 1 DAY, '%d-%m-%Y') END AS day_before FROM (SELECT *, {WRITTEN} AS written FROM orders)")
+def dates_moved(spark, d):
+    c = F.col("written")
+    return _written(spark, d).select("o_orderkey", dates.moved_date(c, 1).alias("next_day"), dates.moved_date(c, -1).alias("day_before"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 0 THEN 'A' ELSE '' END AS marker FROM documents")
+def content_markers(spark, d):
+    return table(spark, d, "documents").select("doc_id", records.blob_marker(F.col("text")).alias("marker"))
+
+
+@query("SELECT work_id, count(DISTINCT coalesce(year, -1)) = 1 AS equal_years FROM normalized_works GROUP BY work_id")
+def works_of_one_year(spark, d):
+    return table(spark, d, "normalized_works").groupBy("work_id").agg(records.all_equal(F.col("year")).alias("equal_years"))
+
+
+@query("SELECT v.work_id, coalesce(min(w.title), '') AS title FROM work_vectors v LEFT JOIN normalized_works w USING (work_id) GROUP BY v.work_id")
+def vector_titles(spark, d):
+    return records.titles(table(spark, d, "work_vectors").select("work_id"), table(spark, d, "normalized_works"), "work_id", "title")
+
+
+_ITEMS = """it AS (SELECT id, CASE id % 5 WHEN 0 THEN 'journalArticle' WHEN 1 THEN 'conferencePaper' WHEN 2 THEN 'bookSection' WHEN 3 THEN 'book' ELSE 'webpage' END AS itemType, title, CASE WHEN id % 3 = 0 THEN doi END AS DOI, CASE WHEN id % 2 = 0 THEN year::VARCHAR END AS date, CASE WHEN id % 7 = 0 THEN 'Known' ELSE '' END AS publicationTitle, '' AS proceedingsTitle, CAST(NULL AS VARCHAR) AS bookTitle, '' AS volume, '' AS issue, '' AS pages FROM normalized_works),
+   hit AS (SELECT title, arg_min(doi, id) AS h_doi, arg_min('Journal ' || id, id) AS h_container, arg_min(year::VARCHAR, id) AS h_year, arg_min((id % 40)::VARCHAR, id) AS h_volume FROM (SELECT id, title, coalesce(doi, '') AS doi, coalesce(year, 0) AS year FROM normalized_works WHERE title IS NOT NULL) GROUP BY title)"""
+
+
+def _items(spark, d):
+    works, id_, none = table(spark, d, "normalized_works"), F.col("id"), F.lit("")
+    kind = F.when(id_ % 5 == 0, "journalArticle").when(id_ % 5 == 1, "conferencePaper").when(id_ % 5 == 2, "bookSection").when(id_ % 5 == 3, "book").otherwise("webpage")
+    items = works.select("id", kind.alias("itemType"), "title", F.when(id_ % 3 == 0, F.col("doi")).alias("DOI"), F.when(id_ % 2 == 0, F.col("year").cast("string")).alias("date"), F.when(id_ % 7 == 0, "Known").otherwise("").alias("publicationTitle"), none.alias("proceedingsTitle"), F.lit(None).cast("string").alias("bookTitle"), none.alias("volume"), none.alias("issue"), none.alias("pages"))
+    hits = works.where("title is not null").select("title", id_.alias("position"), F.coalesce("doi", none).alias("DOI"), F.concat(F.lit("Journal "), id_.cast("string")).alias("container_title"), F.coalesce("year", F.lit(0)).cast("string").alias("published_year"), (id_ % 40).cast("string").alias("volume"), none.alias("issue"), F.lit(None).cast("string").alias("page"))
+    return items, hits
+
+
+@query(f"""WITH {_ITEMS}, m AS (SELECT it.*, h.* EXCLUDE (title) FROM it LEFT JOIN hit h ON h.title = it.title AND it.title <> '' AND coalesce(it.DOI, '') = '')
+   SELECT id, itemType, title, CASE WHEN coalesce(DOI, '') = '' THEN coalesce(nullif(h_doi, ''), DOI) ELSE DOI END AS DOI, CASE WHEN coalesce(date, '') = '' THEN coalesce(h_year, date) ELSE date END AS date,
+   CASE WHEN publicationTitle = '' AND itemType = 'journalArticle' THEN coalesce(h_container, '') ELSE publicationTitle END AS publicationTitle, CASE WHEN itemType = 'conferencePaper' THEN coalesce(h_container, '') ELSE '' END AS proceedingsTitle,
+   CASE WHEN itemType = 'bookSection' THEN h_container END AS bookTitle, CASE WHEN itemType IN ('journalArticle', 'conferencePaper') THEN coalesce(h_volume, '') ELSE '' END AS volume, '' AS issue, '' AS pages FROM m""")
+def enriched_items(spark, d):
+    items, hits = _items(spark, d)
+    return records.enriched(items, hits, "id")
+
+
+@query(f"WITH {_ITEMS} SELECT id, itemType FROM it WHERE itemType IN ('journalArticle', 'conferencePaper', 'bookSection', 'report', 'Report', 'thesis', 'preprint', 'manuscript')")
+def publications_only(spark, d):
+    return records.of_types(_items(spark, d)[0], "itemType").select("id", "itemType")
+
+
+@query(f"WITH {_ITEMS} SELECT id, title FROM it WHERE title <> '' AND coalesce(DOI, '') = ''")
+def items_to_look_up(spark, d):
+    return records.lacking(_items(spark, d)[0], "title", "DOI").select("id", "title")
+
+
+@query(f"WITH {_ITEMS} SELECT title, h_doi AS doi FROM hit")
+def first_hits(spark, d):
+    return records.first_hit(_items(spark, d)[1].select("title", "position", F.col("DOI").alias("doi")), "title", "position")
+
+
+# ---------------------------------------------------------------- papers
+
+
+@query(f"""WITH p AS (SELECT e.paper_id, nullif(e.pdf_url, '') AS own, {_DOC.format('w.openalex_metadata')} AS m FROM experience_records e LEFT JOIN (SELECT regexp_extract(work_id, 'W[0-9]+$', 0) AS paper_id, min(openalex_metadata) AS openalex_metadata FROM normalized_works WHERE work_id LIKE '%/W%' GROUP BY 1) w USING (paper_id)),
+   u AS (SELECT paper_id, own, coalesce(nullif(m->>'$.primary_location.pdf_url', ''), list_filter(list_transform(CASE WHEN json_type(m, '$.locations') = 'ARRAY' THEN json_extract(m, '$.locations')::JSON[] END, lambda x: x->>'$.pdf_url'), lambda u: u <> '')[1]) AS found FROM p),
+   d AS (SELECT pdf_url, min(nullif(local_path, '')) AS local_path, min(error) AS failure FROM pdf_resolutions WHERE pdf_url IS NOT NULL GROUP BY 1), t AS (SELECT local_path, min(nullif(extracted_text, '')) AS extracted_text FROM pdf_resolutions WHERE local_path <> '' GROUP BY 1),
+   j AS (SELECT u.paper_id, coalesce(own, found) AS pdf_url, CASE WHEN own IS NOT NULL THEN 'explicit_pdf_url' WHEN found IS NOT NULL THEN 'openalex_primary_location' END AS strategy, d.local_path, t.extracted_text, d.failure FROM u LEFT JOIN d ON d.pdf_url = coalesce(own, found) LEFT JOIN t ON t.local_path = d.local_path)
+   SELECT paper_id, pdf_url, strategy, local_path, length(extracted_text)::INT AS characters, CASE WHEN pdf_url IS NULL THEN 'no_pdf_url_found' WHEN failure IS NOT NULL THEN failure WHEN local_path IS NULL THEN 'download_failed' WHEN extracted_text IS NULL THEN 'extraction_failed' END AS error FROM j""")
+def resolved_papers(spark, d):
+    """Every paper through the steps of resolution, with the attempts on record as what downloads and text engines gave."""
+    works = table(spark, d, "normalized_works").where("work_id like '%/W%'").groupBy(F.regexp_extract("work_id", "W[0-9]+$", 0).alias("paper_id")).agg(F.min("openalex_metadata").alias("openalex_metadata"))
+    asked = table(spark, d, "experience_records").select("paper_id", "pdf_url").join(works, "paper_id", "left")
+    tries = table(spark, d, "pdf_resolutions")
+    downloads = tries.where("pdf_url is not null").groupBy(F.col("pdf_url").alias("url")).agg(F.min(F.nullif("local_path", F.lit(""))).alias("local_path"), F.min("error").alias("failure"))
+    read = tries.where("local_path <> ''").groupBy("local_path").agg(F.min(F.nullif("extracted_text", F.lit(""))).alias("extracted_text")).withColumn("failure", F.lit(None).cast("string"))
+    return papers.resolution(asked, downloads, read).select("paper_id", "pdf_url", "strategy", "local_path", F.length("extracted_text").alias("characters"), "error")
+
+
+_HITS = f"""h AS (SELECT id AS bundle, generate_subscripts(l, 1) - 1 AS position, unnest(l) AS item FROM (SELECT id, CASE WHEN json_type(m) = 'ARRAY' THEN m::JSON[] WHEN json_type(m) = 'OBJECT' THEN [m] END AS l FROM (SELECT id, {_DOC.format('search_hits_openalex')} AS m FROM raw_bundles)))"""
+
+
+def _hits(spark, d):
+    v = jsons.document(F.col("search_hits_openalex"))
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.array(v)))
+    rows = table(spark, d, "raw_bundles").select(F.col("id").alias("term_no"), F.lit("grid worlds").alias("query"), F.posexplode(items).alias("position", "v"))
+    return rows.where("v is not null").select("term_no", "query", "position", F.to_json("v").alias("item"))
+
+
+@query(f"WITH {_HITS}, i AS (SELECT bundle, position, item->>'$.id' AS id, item->>'$.title' AS title FROM h) SELECT id, min(bundle) AS first_bundle, arg_max(coalesce(title, ''), bundle * 100000 + position) AS title FROM i WHERE id IS NOT NULL GROUP BY id")
+def fetched_works(spark, d):
+    """The works of all searches, each once: met first in this bundle, as the last bundle has it."""
+    out = papers.fetched(_hits(spark, d))
+    title = F.coalesce(F.try_variant_get(F.try_parse_json("item"), "$.title", "string"), F.lit(""))
+    return out.select("id", F.col("position.term_no").alias("first_bundle"), title.alias("title"))
+
+
+@query()
+def pipeline_notes(spark, d):
+    """Notes of the first five works whose metadata are known, summarised by their first words."""
+    rows = table(spark, d, "raw_bundles").where(F.try_variant_get(jsons.document(F.col("openalex_metadata")), "$.abstract_inverted_index", "string").isNotNull())
+    hits = rows.select(F.col("id").alias("term_no"), F.lit("known").alias("query"), F.lit(0).alias("position"), F.to_json(jsons.document(F.col("openalex_metadata"))).alias("item"))
+    return papers.pipeline(hits, first=5, summarise=lambda title, abstract: " ".join(abstract.split()[:12]))
+
+
+@query("SELECT id, list_distinct(list_filter(['https://arxiv.org/pdf/' || nullif(arxiv_id, '') || '.pdf', 'https://doi.org/' || nullif(doi, ''), CASE WHEN doi <> '' THEN 'https://mirror.example/' || work_id END], lambda x: x <> '')).len()::INT AS n, list_filter(['https://arxiv.org/pdf/' || nullif(arxiv_id, '') || '.pdf', 'https://doi.org/' || nullif(doi, ''), CASE WHEN doi <> '' THEN 'https://mirror.example/' || work_id END], lambda x: x <> '')[1] AS first_url FROM raw_bundles")
+def pdf_addresses(spark, d):
+    found = papers.candidates(F.lit(""), F.col("arxiv_id"), F.col("doi"), F.concat(F.lit("https://mirror.example/"), "work_id"))
+    return table(spark, d, "raw_bundles").select("id", F.size(found).alias("n"), F.get(found, F.lit(0)).alias("first_url"))
+
+
+@query(f"WITH {_PARSED}, k AS (SELECT b.id, {_KEYS}, pm, cm, om FROM b JOIN (SELECT id, " + ", ".join(f"CASE WHEN ({_DOC.format(c)})->>'$' NOT IN ('', '0', '[]', '{{}}', 'false') THEN md5({c}) END AS {c[0]}m" for c in ("pdf_metadata", "crossref_metadata", "openalex_metadata")) + " FROM raw_bundles) USING (id)) SELECT key_type, key_value, arg_min(pm, id) AS pdf, arg_min(cm, id) AS crossref, arg_min(om, id) AS openalex FROM k GROUP BY ALL")
+def merged_metadata(spark, d):
+    """Of each work and source the first bundle's metadata that aren't empty, as digests."""
+    m = resolve.merge(table(spark, d, "raw_bundles"))
+    return m.select("key_type", "key_value", *[F.md5(f"{s}_metadata").alias(s) for s in ("pdf", "crossref", "openalex")])
+
+
+@query()
+def text_vectors(spark, d):
+    """The documents' vectors by the model-free encoder."""
+    return embed.encode(table(spark, d, "documents"), "doc_id", "text", embed.hashing_encoder(32))
+
+
+@query("SELECT e.paper_id, array_to_string(list_slice(string_split('1.22.333.4444.' || (e.year % 7), '.'), 1, 4), '.') AS label, length(coalesce(t.text, ''))::INT AS characters FROM experience_records e LEFT JOIN (SELECT paper_id, min(extracted_text) AS text FROM pdf_resolutions GROUP BY 1) t USING (paper_id) WHERE e.year IS NOT NULL")
+def labelled_texts(spark, d):
+    codes = table(spark, d, "experience_records").where("year is not null").select("paper_id", F.concat(F.lit("1.22.333.4444."), (F.col("year") % 7).cast("string")).alias("code"))
+    found = table(spark, d, "pdf_resolutions").groupBy("paper_id").agg(F.min("extracted_text").alias("text"))
+    return texts.dataset(codes, found, "paper_id", "code", "text").select("paper_id", "label", F.length("text").alias("characters"))
+
+
+# ---------------------------------------------------------------- diagrams, trees, archives
+
+
+@query(f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT DISTINCT src AS v FROM e WHERE src NOT IN (SELECT dst FROM e)), t AS (SELECT v, 0 AS n FROM r UNION SELECT e.dst, t.n + 1 FROM t JOIN e ON e.src = t.v), l AS (SELECT v, max(n) AS level FROM t GROUP BY v) SELECT v, level::INT AS level, row_number() OVER (ORDER BY level, v)::BIGINT AS place FROM l")
+def graph_order(spark, d):
+    return graph.topological(_edges(spark, d))
+
+
+@query()
+def diagram_chain(spark, d):
+    """The main chain of a diagram with two kinds of vertices shown, and where skip edges come from."""
+    e = _edges(spark, d).where("src > 0")
+    kinds = graph.vertices(e).select("v", F.when(F.col("v") % 3 == 0, "ReLU").when(F.col("v") % 2 == 0, "Conv2d").otherwise("Linear").alias("kind"))
+    path, skips = graph.main_chain(e, kinds, ["Conv2d", "Linear"])
+    labels = kinds.select("v", F.concat(F.lit("<b>"), "kind", F.lit("</b> (1, 64, "), (F.col("v") % 7 + 1).cast("string"), F.lit(", 8)")).alias("label"))
+    return layers.chain_nodes(path, labels, skips)
+
+
+def _layers(spark, d):
+    """Every order as a network, its lines as layers."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("net"), F.col("l_linenumber").alias("at"), F.element_at(F.array(*[F.lit(x) for x in ("Conv2d", "ReLU", "MaxPool2d", "Conv2d", "Linear", "add_", "ConvTranspose2d")]), (F.col("l_partkey") % 7 + 1).cast("int")).alias("type"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("height"))
+    return rows.withColumn("width", F.col("height"))
+
+
+@query()
+def network_blocks(spark, d):
+    return layers.path_blocks(_layers(spark, d), "net", "at")
+
+
+@query()
+def network_documents(spark, d):
+    return layers.document(layers.path_blocks(_layers(spark, d), "net", "at"), "net")
+
+
+@query()
+def folder_export(spark, d):
+    """Every tree of folders as JSON, with the documents of each folder and their papers."""
+    folders, docs = table(spark, d, "collections"), table(spark, d, "documents")
+    items = docs.where("collection_key is not null").join(folders.select("collection_key", "collectionid"), "collection_key").select("collectionid", "doc_id", F.col("source").alias("title"))
+    files = docs.where("paper_id is not null").select("doc_id", F.concat("paper_id", F.lit(".pdf")).alias("attachment"))
+    return hierarchy.export(folders, "collectionid", "parentcollectionid", "collectionname", hierarchy.with_attachments(items, files, "doc_id", "collectionid"))
+
+
+@query("SELECT doc_id, 'note.txt' AS name, text FROM documents WHERE text IS NOT NULL")
+def archived_texts(spark, d):
+    """Texts put into ZIP archives and taken out again."""
+    blobs = table(spark, d, "documents").where("text is not null").select("doc_id", engines.zipped(F.lit("note.txt"), F.encode("text", "UTF-8")).alias("blob"))
+    return blobs.select("doc_id", F.explode(engines.unzipped("blob")).alias("f")).select("doc_id", "f.name", F.decode("f.content", "UTF-8").alias("text"))
+
+
+@query("SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i)10\\.\\d{4,9}/[-._;()/:A-Z0-9]+', 0), ''), '10.1/' || doc_id) AS doi FROM documents")
+def cascaded_dois(spark, d):
+    """A text's DOI from its header, itself or its properties."""
+    said = F.map_from_arrays(F.array(F.lit("a"), F.lit("subject")), F.array(F.lit("none"), F.concat(F.lit("see doi:10.1000/"), F.col("doc_id").cast("string"))))
+    found = engines.found_doi(F.lit("<TEI/>"), F.col("text"), said)
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace(found, "^10\\.1000/", "10.1/").alias("doi"))

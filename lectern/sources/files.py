@@ -53,19 +53,23 @@ def tei_record(xml: Column) -> Column:
     text = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
     joined = lambda path: F.nullif(strip(F.array_join(F.xpath(xml, F.lit(path + "/text()")), " ")), F.lit(""))
     abstract = F.coalesce(joined(f"//{_tag('abstract')}//{_tag('p')}"), joined(f"//{_tag('div')}[{_tag('head')}[translate(normalize-space(.),'ABSTRCT','abstrct')='abstract']]/{_tag('p')}"))
-    person = f"//{_tag('sourceDesc')}//{_tag('author')}"
-    count = F.xpath_int(xml, F.lit(f"count({person})"))
-    # one author at a time: xpath needs its path as a constant, so authors are read side by side up to a bound that covers TEI headers
-    authors = [
-        F.struct(
-            F.nullif(F.array_join(F.xpath(xml, F.lit(f"({person})[{i}]//{_tag('forename')}/text()")), " "), F.lit("")).alias("given"),
-            text(f"({person})[{i}]//{_tag('surname')}").alias("family"),
-            text(f"({person})[{i}]//{_tag('email')}").alias("email"),
-            text(f'({person})[{i}]//{_tag("idno")}[@type="ORCID"]').alias("orcid"),
-            F.coalesce(text(f'({person})[{i}]//{_tag("orgName")}[@type="institution"]'), text(f"({person})[{i}]//{_tag('orgName')}")).alias("affiliation"),
+    # the authors' elements as texts of their own, so that their number is not bounded by the plan
+    header = F.regexp_extract(xml, r"(?s)<(?:\w+:)?sourceDesc\b.*?</(?:\w+:)?sourceDesc>", 0)
+    people = F.regexp_extract_all(header, F.lit(r"(?s)<((?:\w+:)?author)\b[^>]*>(.*?)</\1>"), F.lit(2))
+
+    def person(p: Column) -> Column:
+        inside = lambda name, body=p, kind="": F.transform(F.regexp_extract_all(body, F.lit(rf"(?s)<((?:\w+:)?{name})\b{kind}[^>]*>(.*?)</\1>"), F.lit(2)), lambda t: strip(F.regexp_replace(t, "<[^>]*>", "")))
+        first = lambda found: F.nullif(F.get(found, F.lit(0)), F.lit(""))
+        given = F.nullif(F.array_join(inside("forename"), " "), F.lit(""))
+        return F.struct(
+            given.alias("given"),
+            first(inside("surname")).alias("family"),
+            first(inside("email")).alias("email"),
+            first(inside("idno", p, r'[^>]*type="ORCID"')).alias("orcid"),
+            F.coalesce(first(inside("orgName", p, r'[^>]*type="institution"')), first(inside("orgName"))).alias("affiliation"),
         )
-        for i in range(1, 33)
-    ]
+
+    authors = F.transform(people, person)
     return F.struct(
         text(f"//{_tag('titleStmt')}/{_tag('title')}").alias("title"),
         abstract.alias("abstract"),
@@ -73,7 +77,7 @@ def tei_record(xml: Column) -> Column:
         F.nullif(F.regexp_extract(F.xpath_string(xml, F.lit(f"//{_tag('date')}/@when")), r"^\d{4}", 0), F.lit("")).alias("year"),
         text(f'//{_tag("sourceDesc")}//{_tag("idno")}[@type="DOI"]').alias("doi"),
         F.xpath(xml, F.lit(f"//{_tag('listBibl')}/{_tag('biblStruct')}//{_tag('title')}/text()")).alias("references"),
-        F.slice(F.array(*authors), F.lit(1), F.greatest(F.least(count, F.lit(32)), F.lit(0))).alias("authors"),
+        authors.alias("authors"),
     )
 
 
@@ -112,17 +116,18 @@ def tensor_shape(text: Column) -> Column:
     return F.slice(F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int")), 2, 3)
 
 
-def read_tree(spark: SparkSession, path: str, max_depth: int = 8) -> DataFrame:
-    """(id, name, parent) edges of JSON trees {id, name, children[]}: nesting is unfolded level by level while it lasts."""
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, parent) edges of JSON trees {id, name, children[]}: nesting is unfolded level by level while it lasts, however deep."""
     level = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     top = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     level = level.select(F.explode(top).alias("v"), F.lit(None).cast("string").alias("parent"))
     out = None
-    for _ in range(max_depth):
+    while True:
         rows = level.select(F.try_variant_get("v", "$.id", "string").alias("id"), F.try_variant_get("v", "$.name", "string").alias("name"), "parent")
         out = rows if out is None else out.unionByName(rows)
         level = level.select(F.try_variant_get("v", "$.id", "string").alias("parent"), F.explode(F.try_variant_get("v", "$.children", "array<variant>")).alias("v"))
-    return out
+        if level.isEmpty():
+            return out
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:

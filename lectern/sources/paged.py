@@ -1,21 +1,36 @@
 """A Spark data source for services that answer in pages.
 
-The transport is a picklable callable `fetch(query, cursor, size) -> (items, next cursor or None)`; without one, pages are read from files,
-which is how tests and offline runs work. Each query is a partition, so queries are fetched in parallel and a lost executor only repeats
-its own. Retries with growing pauses stay inside the partition. Credentials come from the transport's own configuration, never from here.
+The transport is a picklable callable `fetch(query, cursor, size) -> (items, next cursor or None)` that is given; without one, pages are read
+from files, which is how offline runs work. Each query is a partition, so queries are fetched in parallel and a lost executor only repeats
+its own. Retries with growing pauses, after lost connections and the answers 429 and 5xx, stay inside the partition. Credentials come from
+the transport's own configuration, never from here.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lectern.functions.text import canonical_doi
+from lectern.operators.records import BIBLIOGRAPHIC, first_hit
+
+
+class Answer(Exception):
+    """What a transport raises for an answer that is no page, with its status."""
+
+    def __init__(self, status: int):
+        super().__init__(f"status {status}")
+        self.status = status
+
 
 class QueryPartition(InputPartition):
     def __init__(self, query: str):
@@ -23,13 +38,13 @@ class QueryPartition(InputPartition):
 
 
 def file_transport(folder: str) -> Callable:
-    """Pages kept as <folder>/<query>.json: a list of pages, each a list of items."""
+    """Pages kept as <folder>/<query>.json: a list of pages, each a list of items. They are served in the size asked for."""
 
     def fetch(query: str, cursor: str | None, size: int) -> tuple[list, str | None]:
         with open(f"{folder}/{query}.json") as f:
-            pages = json.load(f)
+            items = [item for page in json.load(f) for item in page]
         at = int(cursor or 0)
-        return (pages[at] if at < len(pages) else [])[:size], str(at + 1) if at + 1 < len(pages) else None
+        return items[at : at + size], str(at + size) if at + size < len(items) else None
 
     return fetch
 
@@ -42,7 +57,8 @@ class PagedReader(DataSourceReader):
         return [QueryPartition(q) for q in json.loads(self.options["queries"])]
 
     def read(self, partition: QueryPartition) -> Iterator[tuple]:
-        fetch = file_transport(self.options["folder"])
+        given = self.options.get("transport")
+        fetch = cloudpickle.loads(base64.b64decode(given)) if given else file_transport(self.options["folder"])
         size, target = int(self.options.get("size", 200)), int(self.options.get("target", 1000))
         retries, pause = int(self.options.get("retries", 5)), float(self.options.get("pause", 1.5))
         cursor, got = None, 0
@@ -51,8 +67,9 @@ class PagedReader(DataSourceReader):
                 try:
                     items, cursor = fetch(partition.query, cursor, size)
                     break
-                except OSError:
-                    if attempt + 1 == retries:
+                except (OSError, Answer) as e:
+                    again = not isinstance(e, Answer) or e.status == 429 or e.status >= 500
+                    if not again or attempt + 1 == retries:
                         raise
                     time.sleep(pause**attempt)
             for item in items[: target - got]:
@@ -74,10 +91,52 @@ class PagedSource(DataSource):
         return PagedReader(self.options)
 
 
-def search(spark: SparkSession, queries: list[str], folder: str, target: int = 1000, size: int = 200) -> DataFrame:
-    """(query, position, item): the first `target` hits of each query."""
+def search(spark: SparkSession, queries: list[str], folder: str = "", target: int = 1000, size: int = 200, transport: Callable | None = None, **options: object) -> DataFrame:
+    """(query, position, item): the first `target` hits of each query; options are `retries` and `pause`."""
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").options(queries=json.dumps(queries), folder=folder, target=str(target), size=str(size)).load()
+    said = {"queries": json.dumps(queries), "folder": folder, "target": str(target), "size": str(size), **{k: str(v) for k, v in options.items()}}
+    if transport is not None:
+        said["transport"] = base64.b64encode(cloudpickle.dumps(transport)).decode()
+    return spark.read.format("paged").options(**said).load()
+
+
+def search_years(spark: SparkSession, query: str, years: range, written: Callable[[str, int], str] = "{} {}".format, **how: object) -> DataFrame:
+    """(year, position, doi, item): the hits of every year, each year's by itself, with the DOI in canonical form; `written` puts a year into a query."""
+    parts = [search(spark, [written(query, y)], **how).withColumn("year", F.lit(y)) for y in years]
+    hits = reduce(DataFrame.unionByName, parts)
+    return hits.select("year", "position", canonical_doi(F.try_variant_get(F.try_parse_json("item"), "$.doi", "string")).alias("doi"), "item")
+
+
+#: What a registry's search and a catalogue's lookup are projected to: {name: path}.
+REGISTRY = {"doi": "DOI", "title": "title[0]", "container_title": "container-title[0]", "published_year": "issued.date-parts[0][0]", "volume": "volume", "issue": "issue", "page": "page"}
+CATALOGUE = {"id": "id", "doi": "doi", "title": "title", "year": "publication_year", "cited_by_count": "cited_by_count"}
+SCHOLAR = {"id": "paperId", "title": "title", "abstract": "abstract", "year": "year", "url": "openAccessPdf.url"}
+
+
+def projected(hits: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """As `project`, with the DOI in canonical form."""
+    return project(hits, fields).withColumn("doi", canonical_doi(F.col("doi")))
+
+
+def looked_up(keys: DataFrame, hits: DataFrame, fields: dict[str, str], key: str = "query") -> DataFrame:
+    """Every key of `keys(query)` with the projection of its first hit, nulls without any."""
+    return keys.join(first_hit(project(hits, fields), key, "position"), key, "left")
+
+
+def publications(hits: DataFrame, most: int | None = None, types: list[str] | None = None) -> DataFrame:
+    """(query, position, item) of a listing's items whose itemType is a publication's; `most` caps a listing before the types are looked at."""
+    kind = F.try_variant_get(F.try_parse_json("item"), "$.data.itemType", "string")
+    rows = hits if most is None else hits.where(F.col("position") < most)
+    return rows.where(kind.isin(*(BIBLIOGRAPHIC if types is None else types)))
+
+
+def atom_entries(feed: Column) -> Column:
+    """array<struct(id, title, summary, published, authors)> of an Atom feed; empty for what is none."""
+    entries = F.regexp_extract_all(F.coalesce(feed, F.lit("")), F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
+    plain = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " "))
+    one = lambda e, tag: F.nullif(plain(F.regexp_extract(e, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
+    names = lambda e: F.transform(F.regexp_extract_all(e, F.lit(r"(?s)<author\b[^>]*>(.*?)</author>"), F.lit(1)), lambda a: one(a, "name"))
+    return F.transform(entries, lambda e: F.struct(one(e, "id").alias("id"), one(e, "title").alias("title"), one(e, "summary").alias("summary"), one(e, "published").alias("published"), names(e).alias("authors")))
 
 
 def project(hits: DataFrame, fields: dict[str, str]) -> DataFrame:

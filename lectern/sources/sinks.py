@@ -41,6 +41,24 @@ def note(title: Column, authors: Column, year: Column, venue: Column, tags: Colu
     return F.concat(F.lit("---\n"), F.lit('title: "'), shown, F.lit('"\n'), block("authors", authors), line("year", year), line("venue", venue), block("tags", tags), F.lit("---\n\n# "), shown, F.lit("\n"), section("Abstract", abstract), section("Summary", summary))
 
 
+def write_texts(df: DataFrame, name: str, text: str, folder: str) -> DataFrame:
+    """(path): every text as a file of its own in a folder that all executors share, written as the rows are read; a name given twice keeps one
+    of its texts."""
+    from pathlib import Path
+
+    def run(parts):
+        import pandas as pd
+
+        for p in parts:
+            paths = [str(Path(folder) / n) for n in p["n"]]
+            for path, t in zip(paths, p["t"]):
+                Path(path).parent.mkdir(parents=True, exist_ok=True)
+                Path(path).write_text(t or "", encoding="utf-8")
+            yield pd.DataFrame({"path": paths})
+
+    return df.select(F.col(name).alias("n"), F.col(text).alias("t")).where("n <> ''").mapInPandas(run, "path string")
+
+
 def is_pdf(status: Column, content_type: Column) -> Column:
     """May this answer be kept as a PDF?"""
     return (status == 200) & (F.instr(F.lower(F.coalesce(content_type, F.lit(""))), "application/pdf") > 0)
