@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import dates, jsons, text
-from lectern.operators import embed, graph, hierarchy, layers, papers, records, resolve, search, series, texts
+from lectern.operators import build, embed, graph, hierarchy, layers, papers, records, resolve, search, series, texts
 from lectern.operators.nested import p7_authors, p7_found, p7_institutions
 from lectern.plans.runtime import table
-from lectern.sources import engines, sinks
+from lectern.sources import engines, files, paged, sinks
+from lectern.streaming import gaps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_found, p7_authors, p7_institutions)}
 SQL: dict[str, str] = {}
@@ -711,3 +712,98 @@ def cascaded_dois(spark, d):
     said = F.map_from_arrays(F.array(F.lit("a"), F.lit("subject")), F.array(F.lit("none"), F.concat(F.lit("see doi:10.1000/"), F.col("doc_id").cast("string"))))
     found = engines.found_doi(F.lit("<TEI/>"), F.col("text"), said)
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(found, "^10\\.1000/", "10.1/").alias("doi"))
+
+
+# ---------------------------------------------------------------- sources: texts in the formats that the readers take
+
+
+@query("SELECT p_partkey, 'k' || p_partkey AS id, 'article' AS kind, p_name AS title, 'Ann Larkstone|Ekmann, Bo' AS authors, p_size::VARCHAR AS year, '10.5/' || p_partkey AS doi FROM part")
+def bibtex_fields(spark, d):
+    """Every part as a BibTeX entry, read again."""
+    c = F.col
+    body = F.concat(F.lit("@Article{k"), c("p_partkey"), F.lit(", Title = {"), c("p_name"), F.lit('}, author = "Ann Larkstone and Ekmann, Bo", year = '), c("p_size"), F.lit(", doi = {https://doi.org/10.5/"), c("p_partkey"), F.lit("}}\n@broken{x, title = {"))
+    e = table(spark, d, "part").select("p_partkey", F.explode(files.bibtex_entries(body)).alias("e"))
+    return e.select("p_partkey", c("e.ID").alias("id"), c("e.ENTRYTYPE").alias("kind"), c("e.title").alias("title"), F.array_join(F.split("e.author", r"\s+and\s+"), "|").alias("authors"), c("e.year").alias("year"), text.canonical_doi(c("e.doi")).alias("doi"))
+
+
+@query("SELECT c_custkey, 'On ' || c_mktsegment AS title, c_mktsegment || ' study' AS abstract, '1999' AS year, '10.6/' || c_custkey AS doi, 40 + c_custkey % 3 AS authors, 'N0 ' || c_name AS first_author, CASE WHEN c_custkey % 2 = 0 THEN 'Institute ' || c_nationkey ELSE 'Department' END AS affiliation FROM customer")
+def tei_fields(spark, d):
+    """Every customer as a TEI document with some forty authors, read again."""
+    c, s = F.col, lambda x: F.col(x).cast("string")
+    org = F.when(c("c_custkey") % 2 == 0, F.concat(F.lit('<orgName type="institution">Institute '), s("c_nationkey"), F.lit("</orgName>"))).otherwise("")
+    person = lambda i: F.concat(F.lit("<author><persName><forename>N"), i.cast("string"), F.lit("</forename><surname>"), c("c_name"), F.lit('</surname></persName><affiliation><orgName type="department">Department</orgName>'), org, F.lit("</affiliation></author>"))
+    people = F.array_join(F.transform(F.sequence(F.lit(0), (39 + c("c_custkey") % 3).cast("int")), person), "")
+    doc = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>On '), c("c_mktsegment"), F.lit("</title></titleStmt><sourceDesc><biblStruct><analytic>"), people, F.lit('</analytic><monogr><imprint><date when="1999-05-01"/></imprint></monogr><idno type="DOI">10.6/'), s("c_custkey"), F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), c("c_mktsegment"), F.lit("</p><p>study</p></abstract></profileDesc></teiHeader></TEI>"))
+    r = table(spark, d, "customer").select("c_custkey", files.tei_record(doc).alias("r"))
+    first = F.get("r.authors", F.lit(0))
+    return r.select("c_custkey", "r.title", "r.abstract", "r.year", "r.doi", F.size("r.authors").alias("authors"), F.concat_ws(" ", first["given"], first["family"]).alias("first_author"), first["affiliation"].alias("affiliation"))
+
+
+@query("SELECT s_suppkey, kind, x, y, reward FROM (SELECT s_suppkey, 'Unreachable' AS kind, (s_suppkey % 3)::INT AS x, 0 AS y, NULL::DOUBLE AS reward FROM supplier UNION ALL SELECT s_suppkey, 'Reward', 1, 1, s_acctbal FROM supplier)")
+def maze_cells(spark, d):
+    """Every supplier as a maze, its cells read again."""
+    doc = F.concat(F.lit("<Maze><dimensions><Width>3</Width><Height>2</Height></dimensions><Unreachable><Cell><x>"), F.col("s_suppkey") % 3, F.lit("</x><y>0</y></Cell></Unreachable><Reward><Cell><x>1</x><y>1</y><reward>"), F.col("s_acctbal"), F.lit("</reward></Cell></Reward></Maze>"))
+    read = table(spark, d, "supplier").select("s_suppkey", F.explode(files.maze_cells(files.maze(doc))).alias("c"))
+    return read.select("s_suppkey", "c.*")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '#..' WHEN 1 THEN '.#.' ELSE '..#' END || '|.+.' AS drawn FROM supplier")
+def maze_pictures(spark, d):
+    doc = F.concat(F.lit("<Maze><dimensions><Width>3</Width><Height>2</Height></dimensions><Unreachable><Cell><x>"), F.col("s_suppkey") % 3, F.lit("</x><y>0</y></Cell></Unreachable><Reward><Cell><x>1</x><y>1</y><reward>2</reward></Cell></Reward></Maze>"))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(files.maze_rows(files.maze(doc)), "|").alias("drawn"))
+
+
+@query(f"SELECT src, dst, 0 AS ord FROM ({EDGES}) UNION ALL SELECT dst, src, 1 FROM ({EDGES})")
+def graph_texts(spark, d):
+    """Edges written as graph texts with a way back, read again."""
+    line = F.concat(F.lit("digraph {\n"), "src", F.lit(" -> "), "dst", F.lit(" [label=x]\n"), "dst", F.lit("->"), "src", F.lit("\n}"))
+    return _edges(spark, d).select(F.explode(files.graph_edges(line)).alias("e")).select("e.src", "e.dst", "e.ord")
+
+
+@query("SELECT p_partkey, 'Conv2d' AS type, 64 AS channels, p_size AS height, p_size + 1 AS width, p_size + 1 AS second FROM part")
+def tensor_shapes(spark, d):
+    size = F.col("p_size").cast("int")
+    shape = F.concat(F.lit("(1, 64, "), size, F.lit(", "), size + 1, F.lit(")"))
+    i = layers.node_info(F.concat(F.lit("<b>Conv2d</b> in (1, 3, 5, 5) out "), shape))
+    return table(spark, d, "part").select("p_partkey", i["type"].alias("type"), i["channels"].alias("channels"), i["height"].cast("long").alias("height"), i["width"].cast("long").alias("width"), F.get(files.tensor_shape(shape), F.lit(2)).cast("long").alias("second"))
+
+
+@query("SELECT p_partkey, 'http://a/' || p_partkey AS id, p_name AS title, 'Ann B|C D' AS authors FROM part")
+def atom_feeds(spark, d):
+    c = F.col
+    feed = F.concat(F.lit("<feed><title>all</title><entry><id>http://a/"), c("p_partkey"), F.lit("</id><title> "), c("p_name"), F.lit("\n</title><author><name>Ann B</name></author><author><name>C D</name></author></entry></feed>"))
+    e = table(spark, d, "part").select("p_partkey", F.explode(paged.atom_entries(feed)).alias("e"))
+    return e.select("p_partkey", "e.id", "e.title", F.array_join("e.authors", "|").alias("authors"))
+
+
+def _service(query: str, cursor: str | None, size: int) -> tuple[list, str | None]:
+    """A service of 130 numbered hits for every query."""
+    at = int(cursor or 0)
+    return [{"id": f"{query}{i}", "doi": f"https://doi.org/10.7/{query.upper()}{i}", "title": f"T {i}"} for i in range(at, min(at + size, 130))], str(at + size) if at + size < 130 else None
+
+
+@query("SELECT q AS query, i::INT AS position, '10.7/' || q || i AS doi, 'T ' || i AS title FROM (SELECT unnest(['a', 'b', 'c']) AS q), range(100) r(i)")
+def paged_hits(spark, d):
+    """The first hundred hits of three queries from a service given as a callable."""
+    return paged.projected(paged.search(spark, ["a", "b", "c"], target=100, size=30, transport=_service), {"doi": "doi", "title": "title"})
+
+
+@query("SELECT y::INT AS year, i::INT AS position, '10.7/a ' || y || i AS doi FROM range(2001, 2004) t(y), range(10) r(i)")
+def yearly_hits(spark, d):
+    return paged.search_years(spark, "a", range(2001, 2004), target=10, size=4, transport=_service).select("year", "position", "doi")
+
+
+@query(f"""WITH k AS (SELECT DISTINCT {DOI} AS doi FROM raw_bundles WHERE {DOI} <> ''), c AS (SELECT {DOI} AS doi, count(*) AS n FROM normalized_works WHERE doi IS NOT NULL GROUP BY 1)
+   SELECT 'doi:' || k.doi AS work_id, k.doi, (n > 0) IS TRUE AS known, CASE WHEN n > 0 THEN '[]' ELSE '["crossref: no record","openalex: no record"]' END AS errors FROM k LEFT JOIN c ON c.doi = k.doi""")
+def built_bundles(spark, d):
+    """A bundle for every DOI, with the works as what both lookup services know."""
+    known = table(spark, d, "normalized_works").where("doi is not null").select("doi", "title", "year")
+    out = build.from_dois(table(spark, d, "raw_bundles"), known, known)
+    return out.select("work_id", "doi", (F.col("crossref_metadata") != "{}").alias("known"), "errors")
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS start, round(avg(value), 6) AS mean, count(value) AS values FROM events GROUP BY 1, 2")
+def hourly_means(spark, d):
+    """The streaming operator over the whole table as one batch."""
+    out = gaps.windowed_means(table(spark, d, "events"), "ts", "user_id", "value")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("mean", 6).alias("mean"), "values")
