@@ -11,7 +11,7 @@ INVERTED = "map<string,array<int>>"
 def document(c: Column) -> Column:
     """Text as a VARIANT; a JSON string that itself holds a document is read as that document; unreadable text is null."""
     v = F.try_parse_json(c)
-    return F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v)
+    return F.when(c.rlike(r'^\s*"'), F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v)).otherwise(v)
 
 
 def text_at(c: Column, path: str) -> Column:

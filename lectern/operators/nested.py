@@ -1,14 +1,15 @@
 """Deeply nested JSON as flat tables that keep their parent-child links.
 
-1. The merged schema is inferred in one distributed pass: each document's own schema is reduced to the parts that hold objects in
-   lists (scalars and lists of scalars are cut out of its text, so objects used as maps add nothing), and only the distinct rest is
-   parsed into paths. Where one document mixes kinds so that its schema says VARIANT, the values there are looked at again.
+1. The merged schema is inferred in one distributed pass over all columns: each document's own schema is reduced to the parts that hold
+   objects in lists (scalars and lists of scalars are cut out of its text, so objects used as maps add nothing) and parsed into paths.
+   A document that mixes kinds, so that its schema says VARIANT, is looked through itself in the same pass.
 2. Every list level of that schema becomes a child table. One chain of generators, one for each level, turns a document into
    the rows of all tables in a single scan without a shuffle: row = (key, table, node, parent, ordinal).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -17,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.jsons import document
 from lectern.plans.runtime import table
 
 Path = tuple[str, ...]
@@ -26,12 +28,6 @@ _SCALAR = r"(?:BIGINT|STRING|DOUBLE|FLOAT|BOOLEAN|VOID|BINARY|DATE|TIMESTAMP_NTZ
 _LEAF = rf"{_NAME}: (?:{_SCALAR}|ARRAY<(?!VOID){_SCALAR}>|ARRAY<ARRAY<{_SCALAR}>>)(?:, )?"
 
 
-def document(c: Column) -> Column:
-    """Text as a VARIANT; a JSON string that itself holds a document is read as that document; unreadable text is null."""
-    v = F.try_parse_json(c)
-    return F.coalesce(F.try_parse_json(F.try_variant_get(v, "$", "string")), v)
-
-
 def schema_paths(text: str) -> Iterator[tuple[Path, str]]:
     """(path, kind) of each list and each VARIANT in a schema as `schema_of_variant` writes it; kind is list or mixed."""
     at = 0
@@ -62,38 +58,59 @@ def schema_paths(text: str) -> Iterator[tuple[Path, str]]:
     yield from kind(())
 
 
-def _parse(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        found = {(p, k) for s in part["s"] for p, k in schema_paths(s)}
-        yield pd.DataFrame([(list(p), k) for p, k in found], columns=["path", "kind"])
+def value_paths(value: object) -> set[Path]:
+    """The paths of the lists in a parsed document, those that hold only scalars left out, as they are of schemas."""
+    out: set[Path] = set()
 
+    def look(v: object, path: Path) -> bool:
+        if isinstance(v, dict):
+            for k, x in v.items():
+                look(x, (*path, k))
+            return True
+        if not isinstance(v, list):
+            return False
+        inner = [look(x, (*path, ITEM)) for x in v]
+        if any(inner) or all(x is None for x in v):
+            out.add(path)
+            return True
+        return False
 
-def _values(docs: DataFrame, path: Path) -> DataFrame:
-    for step in path:
-        if step == ITEM:
-            docs = docs.select(F.explode(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))).alias("v"))
-        else:
-            docs = docs.select(F.try_variant_get("v", f"$[{_quoted(step)}]", "variant").alias("v"))
-    return docs.where("v is not null")
+    look(value, ())
+    return out
+
+
+def _paths(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: set[tuple[int, int]] = set()
+    sent: set[tuple[int, Path]] = set()
+    for part in parts:
+        found: set[tuple[int, Path]] = set()
+        for i, s, mixed in zip(part["i"], part["s"], part["mixed"]):
+            if mixed is not None:
+                found |= {(i, p) for p in value_paths(json.loads(mixed))}
+            elif (i, hash(s)) not in seen:
+                seen.add((i, hash(s)))
+                found |= {(i, p) for p, kind in schema_paths(s) if kind == "list"}
+        yield pd.DataFrame([(i, list(p)) for i, p in found - sent], columns=["i", "path"]).astype({"i": "int32"})
+        sent |= found
 
 
 def _quoted(name: str) -> str:
     return '"' + name + '"' if '"' not in name else "'" + name + "'"
 
 
-def infer_lists(docs: DataFrame) -> set[Path]:
-    """The paths at which some value of the column `v` (VARIANT) of `docs` has a list, however deep. Only paths come to the driver, never rows."""
+def infer_lists(docs: DataFrame, columns: list[str]) -> list[set[Path]]:
+    """For each of the VARIANT columns the paths at which some value has a list, however deep, from one pass over all of them.
+
+    A document's own schema tells its lists; only where one mixes kinds, so that its schema says VARIANT, is the document itself looked through.
+    Only paths come to the driver, never rows."""
 
-    def look(frame: DataFrame, base: Path) -> set[Path]:
-        text = F.regexp_replace(F.schema_of_variant("v"), _LEAF, "")
-        found = frame.where("v is not null").select(text.alias("s")).distinct().mapInPandas(_parse, "path array<string>, kind string").distinct().collect()
-        lists = {base + tuple(r.path) for r in found if r.kind == "list"}
-        for r in found:
-            if r.kind == "mixed":  # the path has a step at least, so the data's own depth ends this
-                lists |= look(_values(frame, tuple(r.path)), base + tuple(r.path))
-        return lists
+    def said(i: int, c: str) -> Column:
+        text = F.regexp_replace(F.schema_of_variant(c), _LEAF, "")
+        return F.struct(F.lit(i).alias("i"), text.alias("s"), F.when(F.contains(text, F.lit("VARIANT")), F.to_json(c)).alias("mixed"))
 
-    return _lifted(look(docs, ()))
+    rows = docs.select(F.explode(F.array(*[F.when(F.col(c).isNotNull(), said(i, c)) for i, c in enumerate(columns)])).alias("x")).where("x is not null").select("x.*")
+    found = rows.mapInPandas(_paths, "i int, path array<string>").distinct().collect()
+    return [_lifted({tuple(r.path) for r in found if r.i == i}) for i in range(len(columns))]
 
 
 def _lifted(lists: set[Path]) -> set[Path]:
@@ -132,8 +149,9 @@ def flatten(df: DataFrame, key: str, columns: list[str], keep_values: bool = Fal
     roots: list[Column] = []
     docs = df.select(F.col(key).alias("key"), *[document(F.col(c)).alias(f"d{i}") for i, c in enumerate(columns)])
     depth, top = 0, []
+    inferred = infer_lists(docs, [f"d{i}" for i in range(len(columns))])
     for i, column in enumerate(columns):
-        lists = sorted(infer_lists(docs.select(F.col(f"d{i}").alias("v"))), key=len)
+        lists = sorted(inferred[i], key=len)
         root = len(names)
         top.append(root)
         names.append(column)

@@ -95,5 +95,5 @@ def test_mixed_values_at_any_depth(spark):
     for _ in range(14):
         value = [{"a": value}]
     docs = spark.createDataFrame([(json.dumps(value),)], "s string").select(F.try_parse_json("s").alias("v"))
-    found = infer_lists(docs)
+    found = infer_lists(docs, [docs.columns[-1]])[0]
     assert max(found, key=len)[-1] == "b" and len(found) == 16

@@ -155,11 +155,11 @@ def test_metadata_in_strings_and_titles_in_any_script(spark, tmp_path):
 
     doc = json.dumps({"abstract_inverted_index": {"mazes": [1], "In": [0]}, "locations": [{"pdf_url": ""}, {"pdf_url": "u/1.pdf"}]})
     spark.createDataFrame([(1, doc), (2, json.dumps(doc)), (3, "{broken"), (4, "[]"), (5, '"text"'), (6, None)], "id long, openalex_metadata string").write.parquet(f"{tmp_path}/raw_bundles.parquet")
-    assert {tuple(r) for r in QUERIES["abstracts_decoded"](spark, str(tmp_path)).collect()} == {(1, "In mazes"), (2, "In mazes")}
-    assert {tuple(r) for r in QUERIES["pdf_urls_decoded"](spark, str(tmp_path)).collect()} == {(1, "u/1.pdf"), (2, "u/1.pdf"), (3, None), (4, None), (5, None), (6, None)}
+    assert {tuple(r) for r in QUERIES["abstracts"](spark, str(tmp_path)).collect()} == {(1, "In mazes"), (2, "In mazes")}
+    assert {tuple(r) for r in QUERIES["pdf_urls"](spark, str(tmp_path)).collect()} == {(1, "u/1.pdf"), (2, "u/1.pdf"), (3, None), (4, None), (5, None), (6, None)}
     titles = ["Über RL in Grid World", "über", "ÉRL und RLé", "学习 RL", None]
     spark.createDataFrame(list(enumerate(titles)), "id long, title string").write.parquet(f"{tmp_path}/normalized_works.parquet")
-    got = {r.id: r.title for r in QUERIES["synonym_titles_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.title for r in QUERIES["synonym_titles"](spark, str(tmp_path)).collect()}
     assert got == {0: "über reinforcement_learning in gridworld", 1: "über", 2: "érl und rlé", 3: "学习 reinforcement_learning", 4: None}
 
 
