@@ -55,7 +55,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, open_b
     """(key, piece, first, n, container): what part of each item is in which container.
 
     An item larger than the capacity is split into full containers and a rest; any other stays whole. Items of null or no size are in
-    one row with n = 0 and no container; repeated rows are items of their own; the order of rows doesn't matter; an empty table gives no
+    one row with n = 0 and no container; repeated rows are items of their own; another layout of the table gives another packing as good; an empty table gives no
     rows. A shard takes about `shard_size` containers' worth, and `open_bins` are open at a time.
     """
     kind = dict(items.dtypes)[key]
