@@ -38,7 +38,7 @@ def pdf_texts(files: DataFrame, engines: list[Callable[[bytes], str]] | None = N
     fails is passed over; a file of any size is given whole."""
     tools = installed_engines() if engines is None else engines
     keep = [c for c in files.columns if c != content]
-    schema = files.select(*keep, F.lit("").alias("extracted_text")).schema
+    schema = files.select(*keep, F.lit(None).cast("string").alias("extracted_text")).schema
 
     def text_of(data: bytes | None) -> str | None:
         for tool in tools if data else []:
