@@ -734,7 +734,9 @@ def tei_fields(spark, d):
     person = lambda i: F.concat(F.lit("<author><persName><forename>N"), i.cast("string"), F.lit("</forename><surname>"), c("c_name"), F.lit('</surname></persName><affiliation><orgName type="department">Department</orgName>'), org, F.lit("</affiliation></author>"))
     people = F.array_join(F.transform(F.sequence(F.lit(0), (39 + c("c_custkey") % 3).cast("int")), person), "")
     doc = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>On '), c("c_mktsegment"), F.lit("</title></titleStmt><sourceDesc><biblStruct><analytic>"), people, F.lit('</analytic><monogr><imprint><date when="1999-05-01"/></imprint></monogr><idno type="DOI">10.6/'), s("c_custkey"), F.lit("</idno></biblStruct></sourceDesc></fileDesc><profileDesc><abstract><p>"), c("c_mktsegment"), F.lit("</p><p>study</p></abstract></profileDesc></teiHeader></TEI>"))
-    r = table(spark, d, "customer").select("c_custkey", files.tei_record(doc).alias("r"))
+    # a small table, but much work a row: more tasks than its file gives
+    spread = table(spark, d, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+    r = spread.select("c_custkey", files.tei_record(doc).alias("r"))
     first = F.get("r.authors", F.lit(0))
     return r.select("c_custkey", "r.title", "r.abstract", "r.year", "r.doi", F.size("r.authors").alias("authors"), F.concat_ws(" ", first["given"], first["family"]).alias("first_author"), first["affiliation"].alias("affiliation"))
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from itertools import accumulate
+from xml.etree.ElementTree import XML, Element, ParseError, TreeBuilder, XMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from lectern.functions.text import canonical_doi, file_doi, strip, truthy
 
@@ -41,44 +48,97 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     return e.select(at("ID").alias("id"), at("title").alias("title"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), at("year").alias("year"), truthy(canonical_doi(at("doi"))).alias("doi"), arxiv.alias("arxiv"), "entry")
 
 
-def _tag(name: str) -> str:
-    return f'*[local-name()="{name}"]'
+_TEXT = pa.string()
+_PERSON = pa.struct([(x, _TEXT) for x in ("given", "family", "email", "orcid", "affiliation")])
+_TEI = pa.struct([*[(x, _TEXT) for x in ("title", "abstract", "venue", "year", "doi")], ("references", pa.list_(_TEXT)), ("authors", pa.list_(_PERSON))])
+_ABSTRACT = str.maketrans("ABSTRC", "abstrc")
+_YEAR = re.compile(r"\d{4}", re.A)
+
+
+@lru_cache(10_000)
+def _local(tag: object) -> str:
+    """A tag without its name space; comments and instructions have none."""
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
+def _pieces(e: Element) -> list[str]:
+    """The texts that stand directly in an element."""
+    return [t for t in (e.text, *(c.tail for c in e)) if t]
+
+
+def _whole(e: Element | None) -> str:
+    """All text in an element."""
+    return "" if e is None else "".join(e.itertext()) if len(e) else e.text or ""
+
+
+def _inside(e: Element, name: str) -> list[Element]:
+    return [x for x in e.iter() if _local(x.tag) == name and x is not e]
+
+
+def _person(author: Element) -> tuple[str | None, ...]:
+    given: list[str] = []
+    found: dict[str, str] = {}
+    for x in author.iter():
+        name = _local(x.tag)
+        if name == "forename":
+            given.append(_whole(x).strip())
+        elif name in ("surname", "email", "orgName", "idno"):
+            found.setdefault(name, text := _whole(x).strip())
+            if name[0] in "oi" and (kind := x.get("type")):
+                found.setdefault(f"{name} {kind}", text)
+    said = found.get
+    return " ".join(given) or None, said("surname") or None, said("email") or None, said("idno ORCID") or None, said("orgName institution") or said("orgName") or None
+
+
+def _record(xml: str | None) -> tuple:
+    """The fields of `_TEI`."""
+    try:
+        # comments split the texts around them
+        root = XML(xml, XMLParser(target=TreeBuilder(insert_comments=True, insert_pis=True))) if xml is not None else None
+    except ParseError:
+        root = None
+    if root is None:
+        return (None,) * len(_TEI)
+    at: dict[str, list[Element]] = {}
+    for e in root.iter():
+        at.setdefault(name := _local(e.tag), []).append(e)
+        if not name:
+            e.text = None
+    child = lambda parent, name: next((x for e in at.get(parent, ()) for x in e if _local(x.tag) == name), None)
+    once = lambda found: list({id(e): e for e in found}.values())
+    joined = lambda found: " ".join(t for p in found for t in _pieces(p)).strip() or None
+    headed = lambda div: any(_local(h.tag) == "head" and " ".join(_whole(h).split()).translate(_ABSTRACT) == "abstract" for h in div)
+    abstract = joined(once(p for e in at.get("abstract", ()) for p in _inside(e, "p"))) or joined(p for e in at.get("div", ()) if headed(e) for p in e if _local(p.tag) == "p")
+    year = _YEAR.match(next((w for e in at.get("date", ()) if (w := e.get("when")) is not None), ""))
+    source = at.get("sourceDesc", ())
+    doi = next((x for e in source for x in _inside(e, "idno") if x.get("type") == "DOI"), None)
+    titles = once(t for e in at.get("listBibl", ()) for b in e if _local(b.tag) == "biblStruct" for t in _inside(b, "title"))
+    authors = [_person(a) for a in _inside(source[0], "author")] if source else []
+    return _whole(child("titleStmt", "title")) or None, abstract, _whole(child("monogr", "title")) or None, year and year[0], _whole(doi) or None, [t for e in titles for t in _pieces(e)], authors
+
+
+def _persons(lists: list[list[tuple] | None]) -> pa.Array:
+    """Lists of people, column by column, as Arrow takes long to read them one by one."""
+    people = [p for x in lists if x for p in x]
+    columns = zip(*people) if people else [()] * len(_PERSON)
+    ends = list(accumulate((len(x or ()) for x in lists), initial=0))
+    offsets = pa.array([None if x is None else n for x, n in zip(lists, ends)] + ends[-1:], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(c, _TEXT) for c in columns], fields=list(_PERSON)), type=pa.list_(_PERSON))
 
 
 def tei_record(xml: Column) -> Column:
     """struct(title, abstract, venue, year, doi, references, authors) of a TEI document, whatever its name spaces.
 
     The abstract's paragraphs are joined by blanks; without one, the division headed "abstract" counts. An author's given name is the
-    joined forenames, the affiliation the institution, else any organisation."""
-    text = lambda path: F.nullif(F.xpath_string(xml, F.lit(path)), F.lit(""))
-    joined = lambda path: F.nullif(strip(F.array_join(F.xpath(xml, F.lit(path + "/text()")), " ")), F.lit(""))
-    abstract = F.coalesce(joined(f"//{_tag('abstract')}//{_tag('p')}"), joined(f"//{_tag('div')}[{_tag('head')}[translate(normalize-space(.),'ABSTRCT','abstrct')='abstract']]/{_tag('p')}"))
-    # the authors' elements as texts of their own, so that their number is not bounded by the plan
-    header = F.regexp_extract(xml, r"(?s)<(?:\w+:)?sourceDesc\b.*?</(?:\w+:)?sourceDesc>", 0)
-    people = F.regexp_extract_all(header, F.lit(r"(?s)<((?:\w+:)?author)\b[^>]*>(.*?)</\1>"), F.lit(2))
-
-    def person(p: Column) -> Column:
-        inside = lambda name, body=p, kind="": F.transform(F.regexp_extract_all(body, F.lit(rf"(?s)<((?:\w+:)?{name})\b{kind}[^>]*>(.*?)</\1>"), F.lit(2)), lambda t: strip(F.regexp_replace(t, "<[^>]*>", "")))
-        first = lambda found: F.nullif(F.get(found, F.lit(0)), F.lit(""))
-        given = F.nullif(F.array_join(inside("forename"), " "), F.lit(""))
-        return F.struct(
-            given.alias("given"),
-            first(inside("surname")).alias("family"),
-            first(inside("email")).alias("email"),
-            first(inside("idno", p, r'[^>]*type="ORCID"')).alias("orcid"),
-            F.coalesce(first(inside("orgName", p, r'[^>]*type="institution"')), first(inside("orgName"))).alias("affiliation"),
-        )
-
-    authors = F.transform(people, person)
-    return F.struct(
-        text(f"//{_tag('titleStmt')}/{_tag('title')}").alias("title"),
-        abstract.alias("abstract"),
-        text(f"//{_tag('monogr')}/{_tag('title')}").alias("venue"),
-        F.nullif(F.regexp_extract(F.xpath_string(xml, F.lit(f"//{_tag('date')}/@when")), r"^\d{4}", 0), F.lit("")).alias("year"),
-        text(f'//{_tag("sourceDesc")}//{_tag("idno")}[@type="DOI"]').alias("doi"),
-        F.xpath(xml, F.lit(f"//{_tag('listBibl')}/{_tag('biblStruct')}//{_tag('title')}/text()")).alias("references"),
-        authors.alias("authors"),
-    )
+    joined forenames, the affiliation the institution, else any organisation. Each document is parsed once; unreadable XML gives a
+    struct of nulls."""
+
+    @F.arrow_udf(from_arrow_type(_TEI))
+    def read(documents: pa.Array) -> pa.Array:
+        *plain, authors = zip(*map(_record, documents.to_pylist())) if len(documents) else [()] * len(_TEI)
+        return pa.StructArray.from_arrays([*(pa.array(x, f.type) for x, f in zip(plain, _TEI)), _persons(authors)], fields=list(_TEI))
+
+    return read(xml)
 
 
 MAZE = "struct<dimensions:struct<Width:int,Height:int>,HorizontalWalls:struct<Wall:array<struct<x:int,y:int>>>,VerticalWalls:struct<Wall:array<struct<x:int,y:int>>>,Unreachable:struct<Cell:array<struct<x:int,y:int>>>,Reward:struct<Cell:array<struct<x:int,y:int,reward:double>>>,Punishment:struct<Cell:array<struct<x:int,y:int,reward:double>>>,Terminal:struct<Cell:array<struct<x:int,y:int>>>>"

@@ -86,6 +86,17 @@ def test_sources(spark, tmp_path):
     assert files.file_for_doi(found, found.first().content_doi).count() == 1
 
 
+def test_tei_documents_are_parsed_once_and_may_be_unreadable(spark):
+    person = lambda i: f'<t:author><t:forename>N{i}</t:forename><t:surname>S<t:hi>{i}</t:hi></t:surname><t:idno type="ORCID">0-{i}</t:idno><t:orgName>O</t:orgName></t:author>'
+    good = '<t:TEI xmlns:t="u"><t:sourceDesc>' + "".join(map(person, range(3))) + '<t:author/><t:date/><t:date when="2001-01"/></t:sourceDesc><t:div><t:head> ABSTRACT </t:head><t:p>a<!-- k --> b &amp; c</t:p></t:div></t:TEI>'
+    df = spark.createDataFrame([(0, good), (1, "<TEI><title>x"), (2, None)], "i int, d string").select("i", files.tei_record(F.col("d")).alias("r")).select("i", "r.*", F.size("r.authors").alias("n"))
+    a, b, c = df.orderBy("i").collect()
+    assert (a.n, a.abstract, a.year, a.references) == (4, "a  b & c", "2001", []) and (a.authors[1].given, a.authors[1].family, a.authors[1].orcid, a.authors[1].affiliation) == ("N1", "S1", "0-1", "O")
+    assert b.authors is None and b.title is None and c.authors is None
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("read(d") == 1 and "xpath" not in plan
+
+
 def test_paged_source(spark, tmp_path):
     from lectern.sources import paged
 
