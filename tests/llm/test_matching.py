@@ -1,6 +1,6 @@
 import json
 
-from lectern.llm.matching import p3_found, p3_matches, same_works, title_parts
+from lectern.llm.matching import confidence, p3_found, p3_matches, same_works, title_parts
 
 DDL = "id long, work_id string, doi string, pdf_metadata string, crossref_metadata string, openalex_metadata string, confidence string"
 WORKS = "id long, alternate_dois string"
@@ -69,3 +69,20 @@ def test_titles_of_other_scripts(spark):
     df = spark.createDataFrame([(i, w, None, None, meta(t, [a], y), None, "") for i, (w, t, a, y) in enumerate(rows)], DDL)
     got = {(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()}
     assert got == {(0, 1), (2, 3), (4, 5), (6, 7)}
+
+
+def test_equal_titles_without_a_year_meet_by_misspelt_authors(spark):
+    t = "Hierarchical Option Discovery in Windy Cliffs"
+    rows = [
+        (1, "x1", None, meta(t, ["Ann Larkstone"], 2001), None, None),
+        (2, "x2", None, meta(t, ["Ann Larkstome"]), None, None),
+        (3, "x3", None, meta(t, ["Somebody Else"]), None, None),
+    ]
+    df = spark.createDataFrame([(*r, "") for r in rows], DDL)
+    assert [(r.id_a, r.id_b) for r in same_works(df, spark.createDataFrame([], WORKS)).collect()] == [(1, 2)]
+
+
+def test_confidence_of_a_late_pass():
+    # 466 pairs found at 0.05 GB: 54 of them with two ids, all different, as equal ids are resolved before
+    assert confidence(466, 54, 0.6) > 0.6 > 0.1 > confidence(10, 10, 0.6)
+    assert confidence(20, 0, 0.0) == 0.5 and 0 < confidence(0, 0, 1.0) < 1
