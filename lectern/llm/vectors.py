@@ -88,13 +88,27 @@ def scan(q: np.ndarray, x: np.ndarray, k: int, limit: float, eps: float = 2.1, f
     return (qs[0][keep], cs[0][keep], ds[0][keep]) if qs else (np.empty(0, int),) * 3
 
 
+def may_hold(dots: np.ndarray, near: np.ndarray, apart: np.ndarray, min_cosine: float, dim: int, sigmas: float = 4.0) -> np.ndarray:
+    """Which of the lists `near` (nearest first) may hold a vector within `min_cosine` of each query? dots: the lists' cosines with the queries,
+    apart: distances of the centroids.
+
+    A vector x = c q + s r, r of length 1 at right angles to q, is in another list than q's nearest only if r leans to that centroid by so
+    much as q leans away from it; r in a random direction does so within some standard deviations."""
+    if min_cosine <= 0:
+        return np.ones(near.shape, bool)
+    gap = np.take_along_axis(dots, near[:, :1], 1) - np.take_along_axis(dots, near, 1)
+    reach = sigmas * math.sqrt(max(0.0, 1 - min_cosine**2) / max(1, dim - 1))
+    return min_cosine * gap <= reach * apart[near[:, :1], near] + 1e-6
+
+
 def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, min_cosine: float = -1.0, probes: int = 16, probe_share: float = 0.16, sample_rows: int = 20_000, chunk: int = 2048) -> DataFrame:
     """(key, neighbour, rank, cosine): the k most similar vectors of every vector by cosine, those of at least min_cosine only.
 
     Null, all-zero, non-finite vectors and those of another length than `dim` take no part, as queries or as answers. Rows with equal
     keys are different vectors; equal similarities rank in no particular, but in a repeatable order. Other columns are ignored.
     There are about sqrt(n) / 2 lists, fitted on at most `sample_rows` vectors or four for each list; each query probes `probes` of them
-    or the share `probe_share`, whichever is more, as a fixed number would find less the more lists there are.
+    or the share `probe_share`, whichever is more, as a fixed number would find less the more lists there are; with a `min_cosine` only
+    those of them that may hold a vector so near (`may_hold`).
     An empty table gives no rows.
     """
     spark = df.sparkSession
@@ -117,14 +131,17 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 10, dim: int = 64, mi
     lists = min(lists, len(picked))
     centre = centroids(unit(picked["v"], picked["norm"]), lists) if lists else np.zeros((1, dim), np.float32)
     lists = len(centre)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
     probed = min(max(probes, math.ceil(probe_share * lists)), lists)
 
     def place(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
                 u = unit(p["v"], p["norm"])
-                near = np.argsort(-(u @ centre.T), axis=1, kind="stable")[:, :probed]
-                yield pd.DataFrame({"n": p["n"], "key": p["key"], "u": [x.tobytes() for x in u], "list": near[:, 0].astype("int32"), "probes": list(near.astype("int32"))})
+                dots = u @ centre.T
+                near = np.argsort(-dots, axis=1, kind="stable")[:, :probed]
+                asked = may_hold(dots, near, apart, min_cosine, dim)
+                yield pd.DataFrame({"n": p["n"], "key": p["key"], "u": [x.tobytes() for x in u], "list": near[:, 0].astype("int32"), "probes": [x[a] for x, a in zip(near.astype("int32"), asked)]})
 
     # the number given to a row holds from here on, because it is written
     base = cut(rows.withColumn("n", F.monotonically_increasing_id()).mapInPandas(place, "n long, key string, u binary, list int, probes array<int>"))

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lectern.llm.vectors import nearest, p4_found, scan
+from lectern.llm.vectors import may_hold, nearest, p4_found, scan
 from lectern.plans.runtime import table
 
 
@@ -48,3 +48,19 @@ def test_edge_cases(spark):
     got = nearest(df, "work_id", "vector").collect()
     assert {r.work_id for r in got} == {"a", "b", "g", None} and all(abs(r.cosine - 1) < 1e-6 for r in got) and len(got) == 20
     assert nearest(df.limit(0), "work_id", "vector").count() == 0 and nearest(df.where(F.col("work_id") == "a"), "work_id", "vector").count() == 0
+
+
+def test_lists_that_may_hold_near_vectors():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    q, centre = unit(rng.standard_normal((3000, 64))), unit(rng.standard_normal((80, 64)))
+    r = rng.standard_normal(q.shape)
+    r = unit(r - (r * q).sum(1, keepdims=True) * q)
+    x = 0.9 * q + np.sqrt(1 - 0.81) * r
+    dots = q @ centre.T
+    near = np.argsort(-dots, axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
+    asked = may_hold(dots, near, apart, 0.9, 64)
+    place = (near == (x @ centre.T).argmax(1)[:, None]).argmax(1)
+    assert asked[np.arange(len(q)), place].mean() > 0.999 and asked[:, 0].all() and asked.mean() < 0.9
+    assert may_hold(dots, near, apart, -1.0, 64).all()
