@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.llm.names import distance, name_groups, p6_found, parse, same, similar_tokens
+from lectern.llm.names import distance, name_groups, p6_found, parse, same, similar_tokens, spread
 
 
 @pytest.mark.parametrize(
@@ -60,3 +61,8 @@ def test_candidates_of_short_common_and_long_names(spark):
     got = {r.name: r.author for r in name_groups(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert [got[a] == got[b] for a, b in both] == [True] * 4
     assert len({got[a] for a, _ in both}) == 4
+
+
+def test_small_rows_with_much_work_keep_their_tasks(spark):
+    words = spark.createDataFrame([(f"larkstone{i}",) for i in range(40)], "token string")
+    assert spread(words.distinct(), F.xxhash64("token")).rdd.getNumPartitions() == 4
