@@ -74,3 +74,14 @@ def test_survivors_edge_cases(spark):
     assert got == {(1, "doi", 3, "10.1/b"), (1, "title", 1, "t"), (1, "authors", 3, '["x"]'), (1, "year", 2, "2000")}
     empty = spark.createDataFrame([], ddl)
     assert survivors(empty, spark.createDataFrame([], "id long, retrieval_timestamp string")).count() == 0
+
+
+def test_few_edges_that_a_round_leaves_take_few_stages(spark):
+    path = [(i, i + 1) for i in range(400)]
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        got = connected_components(spark.createDataFrame(path, "src long, dst long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.v for r in got} == set(range(401)) and len(got) == 401 and len({r.component for r in got}) == 1
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 30

@@ -1,6 +1,9 @@
 import json
+import random
 
-from lectern.llm.matching import confidence, p3_found, p3_matches, same_works, title_parts
+from pyspark.sql import functions as F
+
+from lectern.llm.matching import COUNTING, agrees, candidates, confidence, letter_counts, may_agree, p3_found, p3_matches, packed, rules, same_works, title_parts
 
 DDL = "id long, work_id string, doi string, pdf_metadata string, crossref_metadata string, openalex_metadata string, confidence string"
 WORKS = "id long, alternate_dois string"
@@ -86,3 +89,36 @@ def test_confidence_of_a_late_pass():
     # 466 pairs found at 0.05 GB: 54 of them with two ids, all different, as equal ids are resolved before
     assert confidence(466, 54, 0.6) > 0.6 > 0.1 > confidence(10, 10, 0.6)
     assert confidence(20, 0, 0.0) == 0.5 and 0 < confidence(0, 0, 1.0) < 1
+
+
+def test_counts_of_letters_leave_out_only_pairs_that_do_not_agree(spark):
+    rnd = random.Random(3)
+    titles = ["deepsearchformazes" + "".join(rnd.choice("etaoinsrlhdcum") for _ in range(n)) for n in (0, 12, 30, 31, 50, 200)]
+    for t in list(titles):
+        for edits in (1, 2, 3, 5):
+            for _ in range(edits):
+                at = rnd.randrange(12, len(t))
+                t = t[:at] + rnd.choice(["", "e", "s", "é", "ts"]) + t[at + 1 :]
+            titles.append(t)
+    rows = [(i, t, t[:15] * (i % 7 == 0), "", i % 5 == 0, ["larkstone"], [2001]) for i, t in enumerate(titles + ["deepsearchfor", "e" * 300, "e" * 302])]
+    records = spark.createDataFrame(rows, "i int, title string, main string, mark string, open boolean, authors array<string>, years array<int>")
+    records = records.withColumns({"pack": packed(), "counts": letter_counts()})
+    l, r = (records.select(*[F.col(c).alias(f"{x}_{c}") for c in records.columns]) for x in "lr")
+    pairs = l.crossJoin(r).where("l_i < r_i").select(agrees().alias("agree"), may_agree(True).alias("may")).groupBy("agree", "may").count().collect()
+    n = {(p.agree, p.may): p["count"] for p in pairs}
+    assert n[True, True] > 40 and (True, False) not in n
+    # titles of equal start and length
+    assert n[False, True] < n[False, False] / 3
+
+
+def test_keys_are_made_once(spark, capsys):
+    rows = [(i, i, t, "", "", False, ["larkstone"], ["larkstone"], [2001], [2001]) for i, t in enumerate(["deepsearchformazes"] * 2 + ["gardensofthenight"])]
+    ddl = "rid long, g long, title string, main string, mark string, open boolean, authors array<string>, surnames array<string>, own_years array<int>, years array<int>"
+    records, resolved = spark.createDataFrame(rows, ddl), spark.createDataFrame([(1,)], "g long")
+    name, keys = rules()[6]
+    for done in (None, resolved):
+        met = candidates(records, keys, done, counting=name in COUNTING)
+        assert [tuple(x) for x in met.distinct().collect()] == [(0, 1)]
+        capsys.readouterr()
+        met.explain()
+        assert not [x for x in capsys.readouterr().out.splitlines() if "Filter" in x and "xxhash64" in x]
